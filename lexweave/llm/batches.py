@@ -18,9 +18,9 @@ PIECE_CHARS, PIECE_ROWS = 600_000, 4_000
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors of a cluster, once per application."""
+    """Send this package to the Python workers, once per application; they need not have it on their path."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or getattr(sc, "_lexweave_shipped", False):
+    if getattr(sc, "_lexweave_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
     path = os.path.join(tempfile.mkdtemp(prefix="lexweave-"), "lexweave.zip")
