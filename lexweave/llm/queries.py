@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("p2_language", "p3_truncation", "p4_survivor", "p5_lookalike")
+MODULES = ("p2_language", "p3_truncation", "p4_survivor", "p5_lookalike", "p6_defects")
 
 
 def queries() -> dict:
