@@ -81,3 +81,26 @@ def fold_partitions(df: DataFrame, schema: str, start: Callable[[], object], ste
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name][i : i + 10_000], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def scan_partitions(df: DataFrame, schema: str, start: Callable[[], object], step: Callable[[object, dict[str, list]], dict[str, object] | None], end: Callable[[object], dict[str, object]], texts: tuple[str, ...]) -> DataFrame:
+    """Rows of each piece and, from one accumulator a partition, rows at its end: two results of one scan."""
+    ship_package(df.sparkSession)
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def batch_of(out: dict[str, object]) -> Iterator[pa.RecordBatch]:
+        n = len(next(iter(out.values())))
+        for i in range(0, n, 10_000):
+            m = min(n, i + 10_000) - i
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name][i : i + m], type=f.type) if f.name in out else pa.nulls(m, f.type) for f in arrow], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = start()
+        for batch in batches:
+            cols = {f.name: batch.column(i).to_pylist() for i, f in enumerate(batch.schema)}
+            for piece in pieces(cols, texts):
+                if out := step(state, piece):
+                    yield from batch_of(out)
+        yield from batch_of(end(state))
+
+    return df.mapInArrow(run, schema)

@@ -14,10 +14,11 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import fold_partitions, map_pieces
+from ..session import stage
+from .batches import map_pieces, scan_partitions
 from .textkit import INVISIBLE, is_empty
 
 #: Letters that are drawn alike, Cyrillic or Greek on the left, Latin on the right.
@@ -36,14 +37,15 @@ _WIDTH_RE = re.compile(f"[{_WIDTH}]+")
 _TOKEN = re.compile(r"[^\W\d_]+")
 _TOKEN_OR_TAG = re.compile(r"</?[^\W\d_]+|&[a-z]+;|[^\W\d_]+")
 
-_JAVA_SUSPECT = (
-    f"[{_ODD_SPACE}{_CONTROL}{INVISIBLE}\\uff01-\\uffee\\ufb00-\\ufb06\\ufb13-\\ufb17\\u2100-\\u214f\\x{{1d400}}-\\x{{1d7ff}}\\p{{M}}şţŞŢ]"
-).replace(r"\U000e0000-\U000e0fff", r"\x{e0000}-\x{e0fff}")
+_ODD_RE = re.compile(f"[{_ODD_SPACE}{_CONTROL}{INVISIBLE}{_WIDTH}\u0300-\u036f\u0483-\u0487\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2fşţŞŢ]")
+_LATIN_RE, _OTHER_RE = re.compile(r"[A-Za-zÀ-ɏḀ-ỿ]"), re.compile(r"[Ͱ-ԯἀ-῿]")
 
 
-def suspect(value: Column) -> Column:
-    """Whether a value may be inconsistent; false only where it certainly is not. Keeps clean values in the JVM."""
-    return F.coalesce(value.rlike(_JAVA_SUSPECT) | (value.rlike(r"\p{IsLatin}") & value.rlike(r"[\p{IsCyrillic}\p{IsGreek}]")), F.lit(False))
+def suspect(value: str) -> bool:
+    """Whether a value may be inconsistent; false only where it certainly is not."""
+    if _ODD_RE.search(value):
+        return True
+    return not value.isascii() and bool(_OTHER_RE.search(value)) and bool(_LATIN_RE.search(value))
 
 
 def script(c: str) -> str:
@@ -132,40 +134,35 @@ def values_of(translations: DataFrame) -> DataFrame:
     return t.select("id", "meta", F.explode(pair).alias("x")).select("id", "meta", "x.field", "x.value", "x.other")
 
 
-def vocabulary(translations: DataFrame) -> DataFrame:
-    """Distinct lower-case tokens of one script over all values, from one set a partition."""
-
-    def step(state: set, c: dict[str, list]) -> None:
-        words = _TOKEN.findall(" ".join(v for k in ("source", "target") for v in c[k] if v).lower())
-        state.update(set(words) - state)
-
-    def end(state: set) -> dict[str, object]:
-        return {"word": [w for w in state if w.isascii() or len({script(x) for x in w}) == 1]}
-
-    return fold_partitions(translations.select("source", "target"), "word string", set, step, end, ("source", "target")).distinct()
-
-
 def repairs(translations: DataFrame) -> DataFrame:
-    """Values that differ from their consistent form: id, field, value, form, evidence."""
-    suspects = values_of(translations).filter(~F.col("meta") & suspect(F.col("value")))
+    """Values that differ from their consistent form: id, field, value, form, evidence. One scan finds the suspects and
+    gathers each partition's vocabulary of one-script tokens."""
 
-    def scan(c: dict[str, list]) -> dict[str, object]:
+    def step(state: set, c: dict[str, list]) -> dict[str, object]:
+        words = set(_TOKEN.findall(" ".join(v for k in ("source", "target") for v in c[k] if v).lower()))
+        state.update(words)
         out: dict[str, list] = {k: [] for k in ("id", "field", "value", "sure", "pending")}
-        for i, v in enumerate(c["value"]):
-            if not any(ch.isalpha() for ch in v) or is_empty(v, c["other"][i]):
-                continue
-            t = plain_form(v)
-            fixes = token_repairs(t) if not t.isascii() else []
-            sure = t != v or any(not f[3] for f in fixes)
-            pending = sorted({f[2].lower() for f in fixes})
-            if sure or pending:
-                for k, x in zip(out, (c["id"][i], c["field"][i], v, sure, pending)):
-                    out[k].append(x)
+        for field in ("source", "target"):
+            for i, v in enumerate(c[field]):
+                if not v or c["meta"][i] or not suspect(v) or not any(ch.isalpha() for ch in v) or is_empty(v, c["source"][i] if field == "target" else None):
+                    continue
+                t = plain_form(v)
+                fixes = token_repairs(t) if not t.isascii() else []
+                sure = t != v or any(not f[3] for f in fixes)
+                pending = sorted({f[2].lower() for f in fixes})
+                if sure or pending:
+                    for k, x in zip(out, (c["id"][i], field, v, sure, pending)):
+                        out[k].append(x)
         return out
 
-    scanned = map_pieces(suspects.select("id", "field", "value", "other"), "id long, field string, value string, sure boolean, pending array<string>", scan, ("value",))
+    def end(state: set) -> dict[str, object]:
+        return {"word": [w for w in state if w.isascii() or len({script(x) for x in w}) == 1]}
+
+    t = translations.select("id", "source", "target", (F.coalesce(F.col("chapter") == 0, F.lit(False)) & F.coalesce(F.col("paragraph").between(0, 4), F.lit(False))).alias("meta")).filter("id is not null")
+    both = stage(scan_partitions(t, "id long, field string, value string, sure boolean, pending array<string>, word string", set, step, end, ("source", "target")), "suspects")
+    scanned, vocabulary = both.filter("word is null").drop("word"), both.filter("word is not null").select("word").distinct()
     tokens = scanned.select("id", "field", F.explode("pending").alias("word"))
-    known = tokens.join(vocabulary(translations), "word", "left_semi").groupBy("id", "field").agg(F.collect_set("word").alias("known"))
+    known = tokens.join(vocabulary, "word", "left_semi").groupBy("id", "field").agg(F.collect_set("word").alias("known"))
     joined = scanned.select("id", "field", "value", "sure").join(known, ["id", "field"], "left").filter("sure or known is not null")
 
     def finish(c: dict[str, list]) -> dict[str, object]:
