@@ -22,6 +22,7 @@ LANGUAGE_NAMES = {
     "Romanian": ("romanian", "ro", "ron", "rum", "română", "romana", "limba română"),
     "Russian": ("russian", "ru", "rus", "русский", "русский язык"),
 }
+K_LANGS = len(LANGS)
 _BY_NAME = {n: lang for lang, names in LANGUAGE_NAMES.items() for n in names}
 
 
