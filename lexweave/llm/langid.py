@@ -58,27 +58,43 @@ def gram_hashes(codes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def gram_counts(text: str, weights: np.ndarray | None = None) -> np.ndarray:
+    """Counts of hashed n-grams of a text; weights: of each character."""
+    codes = normal_codes(np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32))
+    keep = ~((codes == 32) & (np.concatenate([[32], codes[:-1]]) == 32))
+    w = None if weights is None else weights[keep]
+    return sum(np.bincount(h, w, minlength=1 << BITS) for h in gram_hashes(codes[keep]))
+
+
 @dataclass
 class LanguageModel:
-    """table: log P(gram | language) - mean over languages, float32 [2^BITS, K]."""
+    """table: log P(gram | language) - mean over languages, float32 [2^BITS, K]; counts: what it was fitted on."""
 
     table: np.ndarray
+    counts: np.ndarray | None = None
+
+    @classmethod
+    def of_counts(cls, counts: np.ndarray, alpha: float = 0.3) -> LanguageModel:
+        total = counts.sum(0, keepdims=True)
+        used = counts.sum(1) > 0
+        logp = np.log((counts + alpha) / (total + alpha * used.sum()))
+        logp[~used] = 0
+        return cls((logp - logp.mean(1, keepdims=True)).astype(np.float32), counts)
 
     @classmethod
-    def fit(cls, samples: list[tuple[str, int]], alpha: float = 0.3) -> LanguageModel:
+    def fit(cls, samples: list[tuple[str, int]]) -> LanguageModel:
         counts = np.zeros((1 << BITS, K))
         for k in range(K):
             text = "\x01".join(t for t, lang in samples if lang == k)
-            codes = normal_codes(np.frombuffer((" " + text + " ").encode("utf-32-le"), dtype=np.uint32))
-            keep = ~((codes == 32) & (np.concatenate([[32], codes[:-1]]) == 32))
-            codes = codes[keep]
-            for h in gram_hashes(codes):
-                counts[:, k] += np.bincount(h, minlength=1 << BITS)
+            counts[:, k] = gram_counts(f" {text} ")
+        return cls.of_counts(counts)
+
+    def adapted(self, counts: np.ndarray, weight: float = 20.0) -> LanguageModel:
+        """With counts from a corpus besides, whose total in each language counts `weight` times that of the samples."""
+        size = max(self.counts.sum(0).mean(), 1.0)
         total = counts.sum(0, keepdims=True)
-        used = (counts.sum(1) > 0).sum()
-        logp = np.log((counts + alpha) / (total + alpha * used))
-        logp[counts.sum(1) == 0] = 0
-        return cls((logp - logp.mean(1, keepdims=True)).astype(np.float32))
+        own = self.counts * size / np.maximum(self.counts.sum(0, keepdims=True), 1.0)
+        return self.of_counts(own + np.where(total > 0, counts * weight * size / np.maximum(total, 1.0), own * weight))
 
     def score(self, s: Sentences) -> np.ndarray:
         """Log likelihood of each sentence in each language, up to a constant, [sentences, K]; overlapping n-grams
@@ -98,6 +114,23 @@ class LanguageModel:
         sums = np.add.reduceat(total, at, axis=0) if len(at) else np.zeros((0, K), np.float32)
         return sums / len(ORDERS)
 
+    def whole(self, texts: list[str]) -> np.ndarray:
+        """Log likelihood of whole texts from their longest n-grams but one, [texts, K]; a quick first look."""
+        if not texts:
+            return np.zeros((0, K), np.float32)
+        raw = np.frombuffer(("\x01".join(texts) + "\x01").encode("utf-32-le", "replace"), dtype=np.uint32)
+        ends = np.flatnonzero(raw == 1)[-len(texts) :] if raw.size else np.zeros(0, np.int64)
+        codes = normal_codes(raw)
+        x = codes.astype(np.uint64)
+        for n in (2, 3):
+            shifted = np.empty_like(codes)
+            shifted[: n - 1] = 32
+            shifted[n - 1 :] = codes[: len(codes) - n + 1]
+            x = x * np.uint64(0x100000001B3) + shifted.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        h = ((x * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int32)
+        return np.add.reduceat(self.table[h], np.concatenate([[0], ends[:-1] + 1]), axis=0)
+
     def words(self, s: Sentences) -> np.ndarray:
         """How many words (white-space pieces with a letter) each sentence has."""
         if not len(s):

@@ -7,14 +7,19 @@ not read. Repeated rows each give their own result.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import map_pieces
-from .langid import K, LanguageModel, mixture
+from .batches import fold_partitions, map_pieces
+from .langid import BITS, K, LanguageModel, gram_counts, mixture
 from .textkit import LANGS, Sentences, is_empty, language_of_label
 
+_WORD = re.compile(r"[^\W\d_]+")
 SEGMENTS = "id long, seg_pos int, lang string, confidence double, n_sentences int, n_words int, label string, wrong boolean, mixed boolean"
 
 
@@ -24,6 +29,49 @@ def fit_language_model(samples: DataFrame, max_samples: int = 20_000) -> Languag
     return LanguageModel.fit([(r.text, language_of_label(r.lang)) for r in rows if language_of_label(r.lang) >= 0])
 
 
+def adapt_language_model(translations: DataFrame, model: LanguageModel, doubt: float = 15.0) -> LanguageModel:
+    """One round of expectation-maximisation over the corpus: the words of every target whose stated language is not
+    refuted by `doubt` nats are counted, and the n-grams of that vocabulary join those of the samples."""
+    sc = translations.sparkSession.sparkContext
+    table = sc.broadcast(model.table)
+
+    def step(st: list[Counter], c: dict[str, list]) -> None:
+        texts = [t.replace("\x01", " ") for t in c["target"]]
+        label = np.array([language_of_label(x) for x in c["target_lang"]])
+        q = LanguageModel(table.value).whole(texts)
+        good = (label >= 0) & (q.max(1) - q[np.arange(len(q)), label] < doubt)
+        for k in range(K):
+            if (mine := np.flatnonzero(good & (label == k))).size:
+                st[k].update(_WORD.findall(" ".join(texts[i] for i in mine).lower()))
+
+    def end(st: list[Counter]) -> dict[str, object]:
+        return {"lang": [k for k in range(K) for _ in st[k]], "word": [w for x in st for w in x], "n": [float(n) for x in st for n in x.values()]}
+
+    rows = translations.select("target", "target_lang").filter("target is not null and target <> ''")
+    words = fold_partitions(rows, "lang int, word string, n double", lambda: [Counter() for _ in range(K)], step, end, ("target",)).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+    def grams(st: dict, c: dict[str, list]) -> None:
+        lang = np.array(c["lang"])
+        for k in np.unique(lang):
+            mine = np.flatnonzero(lang == k)
+            w = np.repeat([c["n"][i] for i in mine], [len(c["word"][i]) + 1 for i in mine])
+            st["x"][:, k] += gram_counts(" " + "".join(c["word"][i] + " " for i in mine), np.concatenate([[0.0], w]))
+
+    def blocks(st: dict) -> dict[str, object]:
+        x = st["x"].astype(np.float32).reshape(64, -1)
+        return {"block": list(range(64)), "x": [r.tobytes() for r in x]}
+
+    parts = fold_partitions(words, "block int, x binary", lambda: {"x": np.zeros((1 << BITS, K))}, grams, blocks, ("word",))
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [key[0]], "x": [sum(np.frombuffer(b, np.float32) for b in pdf["x"]).tobytes()]})
+
+    counts = np.zeros((64, (1 << BITS) * K // 64))
+    for r in parts.groupBy("block").applyInPandas(add, "block int, x binary").collect():  # 64 blocks, the size of the model
+        counts[r.block] = np.frombuffer(r.x, np.float32)
+    return model.adapted(counts.reshape(1 << BITS, K))
+
+
 def label_prior(target_lang: list, source_lang: list, stated: float = 2.5, source: float = 1.0) -> np.ndarray:
     """What labels say beforehand, in nats: the stated language is likelier, and so is the source's."""
     prior = np.zeros((len(target_lang), K))
@@ -85,8 +133,9 @@ def language_segments(translations: DataFrame, model: LanguageModel, min_words:
 
 
 def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = fit_language_model(spark.read.parquet(f"{sf_dir}/lang_samples.parquet"))
-    return language_segments(spark.read.parquet(f"{sf_dir}/translations.parquet"), model)
+    translations = spark.read.parquet(f"{sf_dir}/translations.parquet")
+    model = adapt_language_model(translations, fit_language_model(spark.read.parquet(f"{sf_dir}/lang_samples.parquet")))
+    return language_segments(translations, model)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

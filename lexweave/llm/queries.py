@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("p1_alignment", "p2_language", "p3_truncation", "p4_survivor", "p5_lookalike", "p6_defects", "p9_spam")
+MODULES = ("p1_alignment", "p2_language", "p3_truncation", "p4_survivor", "p5_lookalike", "p6_defects", "p7_packing", "p8_mixing", "p9_spam")
 
 
 def queries() -> dict:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 
@@ -26,6 +27,7 @@ K_LANGS = len(LANGS)
 _BY_NAME = {n: lang for lang, names in LANGUAGE_NAMES.items() for n in names}
 
 
+@lru_cache(maxsize=4096)
 def language_of_label(label: str | None) -> int:
     """Index in LANGS of what a label names, -1 where it names none. Case, blanks and regions (en-GB) are ignored."""
     if not label:
@@ -75,6 +77,10 @@ SENTENCE_END = re.compile(r"[.!?]+(?:[\s]?»|[\"”“’'‘*›])*(?=[\s\x01]|
 SEP = "\x01"
 
 
+#: The label and number of a heading (# Chapter 3:), which say little about the language of its text.
+HEADING = re.compile(r"(?:^|(?<=\x01))#+\s*[^\W\d_]+\s+\d+\s*:")
+
+
 class Sentences:
     """Sentences of many texts. text: all of them in one string; start, end: offsets; doc: number of the text;
     first: index of each text's first sentence, n: how many it has. Blank pieces are no sentences."""
