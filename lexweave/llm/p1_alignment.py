@@ -131,6 +131,9 @@ def alignments(translations: DataFrame, model: PairModel, min_source: int = 1, w
     def run(c: dict[str, list]) -> dict[str, object]:
         if "m" not in cache:
             cache.update(m=PairModel(*shared.value), identity=identity_vectors(), terms=Terms())
+        # a text of n sentences has n - 1 marks at least
+        some = [i for i, x in enumerate(c["source"]) if x.count(".") + x.count("!") + x.count("?") >= min_source - 1]
+        c = {k: [v[i] for i in some] for k, v in c.items()}
         src = Sentences(c["source"])
         keep = [i for i in range(len(c["id"])) if src.n[i] >= min_source]
         out: dict[str, list] = {"id": [], "src_pos": [], "tgt_pos": []}
