@@ -107,8 +107,7 @@ def corpus_statistics(translations: DataFrame) -> DataFrame:
             if not opened:
                 text.append(t)
                 if s_mark and s and len(t) < 400:
-                    n = len(SENTENCE_END.findall(t))
-                    if n == 1 and len(SENTENCE_END.findall(s)) == 1:
+                    if t.count(".") + t.count("!") + t.count("?") == 1 == s.count(".") + s.count("!") + s.count("?"):
                         x = math.log(len(body) / max(len(s), 1))
                         if abs(x) < 0.7:
                             r = st["r"][ratio_key(sl, tl)]
@@ -192,11 +191,11 @@ def limits(statistics: DataFrame) -> DataFrame:
     return best.select("model_key", "best", F.explode("u").alias("u")).filter("u.t >= 0.5 * best").select("model_key", "u.unit", F.explode("u.x").alias("x")).select("model_key", "unit", "x.*")
 
 
-def judge(translations: DataFrame, threshold: float = 0.5, omit: float = 0.2) -> DataFrame:
+def judge(translations: DataFrame, threshold: float = 0.5, omit: float = 0.2, stats: DataFrame | None = None) -> DataFrame:
     """Every open value with its log odds of being cut: id, model_key, censor_posterior, log_odds, cut.
 
-    omit: how often a whole sentence leaves out a phrase of its source."""
-    stats = stage(corpus_statistics(translations), "lengths")
+    omit: how often a whole sentence leaves out a phrase of its source; stats: corpus_statistics, if at hand."""
+    stats = stage(corpus_statistics(translations), "lengths") if stats is None else stats
     found = limits(stats)
     by_model = found.groupBy("model_key").agg(F.collect_list(F.struct("unit", "limit", "posterior")).alias("limits"))
     ratio = {r.key: (r.b / r.a, math.sqrt(max(r.c / r.a - (r.b / r.a) ** 2, 0.0)), r.a) for r in stats.filter("kind = 'r'").collect()}  # at most 64 language pairs
