@@ -49,3 +49,10 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(path)
     sc._lexweave_shipped = True
+
+
+def small_side(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """Marked for broadcast only where it is counted to be small; otherwise left to a shuffled join."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
