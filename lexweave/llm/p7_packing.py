@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import stage
-from .batches import ship_package
+from ..session import ship_package, stage
 from .tokens import with_tokens
 
 
