@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from .batches import map_pieces, scan_partitions
-from .textkit import K_LANGS, Sentences, language_of_label
+from .textkit import K_LANGS, SENTENCE_END, Sentences, language_of_label
 from .vectors import D, RANK, PairModel, Terms, align, clean, gram_product, identity_vectors, orthonormal, paired_terms, start_matrix, term_vectors
 
 #: The partial sums of a product are added up in so many blocks of terms.
@@ -159,7 +159,16 @@ def alignments(translations: DataFrame, model: PairModel, min_source: int = 1, w
                     continue
                 free.append(y)
             if free:
-                for x, y in align(a, b[free], widest, least):
+                sizes = s_sizes[at : at + n], t_sizes[f : f + m][free]
+                pairs = align(a, b[free], widest, least, sizes=sizes)
+                last, text = m - 1, tgt.text[tgt.start[f + m - 1] : tgt.end[f + m - 1]]
+                if free[-1] == last and t_sizes[f + last] <= 5 and not SENTENCE_END.search(text) and all(free[y] != last for _, y in pairs):
+                    # a beginning of a sentence, too short to tell by itself: it renders what follows the sentence
+                    # before it, if nothing else does
+                    before = max((x for x, y in pairs if free[y] == last - 1), default=-1)
+                    if 0 <= before < n - 1 and all(x != before + 1 for x, _ in pairs):
+                        pairs.append((before + 1, len(free) - 1))
+                for x, y in pairs:
                     out["id"].append(c["id"][i])
                     out["src_pos"].append(x)
                     out["tgt_pos"].append(free[y])

@@ -175,12 +175,14 @@ def _windows(n: int, widest: int) -> np.ndarray:
     return np.array([(i, i + k) for k in range(1, widest + 1) for i in range(n - k + 1)])
 
 
-def align(src: np.ndarray, tgt: np.ndarray, widest: int = 3, least: float = 0.15, near: int = 3) -> list[tuple[int, int]]:
+def align(src: np.ndarray, tgt: np.ndarray, widest: int = 3, least: float = 0.15, near: int = 3, sizes: tuple[np.ndarray, np.ndarray] | None = None, whole: float = 0.55) -> list[tuple[int, int]]:
     """Pairs (source sentence, target sentence) of matched windows.
 
     src, tgt: sentence vectors. Windows of up to `widest` sentences on one side face single sentences on the other;
     each pair of windows scores its cosine less half the mean of the `near` best of either window (margin). The best
-    pair of all is a mutual nearest neighbour: it is taken, its sentences leave, and so on; order plays no part."""
+    pair of all is a mutual nearest neighbour: it is taken, its sentences leave, and so on; order plays no part. A
+    window counts only if its cosine is not below that of the windows inside it and, where sizes (words of the
+    sentences of either side) are given, the sentence facing it has at least `whole` of its words."""
     n, m = len(src), len(tgt)
     if not n or not m:
         return []
@@ -194,6 +196,18 @@ def align(src: np.ndarray, tgt: np.ndarray, widest: int = 3, least: float = 0.15
     out = []
     cos = np.concatenate([va[:n] @ vb.T, np.zeros((len(a) - n, len(b)), np.float32)])
     cos[n:, :m] = va[n:] @ vb[:m].T
+    for c, size in ((cos[:, :m], n), (cos[:n].T, m)):  # a window must be worth more than what it is made of
+        before, at = c[:size], size
+        for k in range(2, min(widest, size) + 1):
+            rows = size - k + 1
+            inner = np.maximum(before[:rows], before[1 : rows + 1])
+            now = c[at : at + rows]
+            now[now < inner] = 0
+            before, at = np.maximum(inner, now), at + rows
+    if sizes is not None:
+        ls, lt = (np.concatenate([[0], np.cumsum(x)]) for x in sizes)
+        cos[n:, :m][sizes[1][None, :] < whole * (ls[a[n:, 1]] - ls[a[n:, 0]])[:, None]] = 0
+        cos[:n, m:][sizes[0][:, None] < whole * (lt[b[m:, 1]] - lt[b[m:, 0]])[None, :]] = 0
     kt, ks = min(near, m), min(near, n)
     base_a = np.partition(cos[:, :m], m - kt, axis=1)[:, m - kt :].mean(1)
     base_b = np.partition(cos[:n], n - ks, axis=0)[n - ks :].mean(0)
