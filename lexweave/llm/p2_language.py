@@ -19,7 +19,7 @@ from .batches import fold_partitions, map_pieces
 from .langid import BITS, K, LanguageModel, gram_counts, mixture
 from .textkit import LANGS, Sentences, is_empty, language_of_label
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W_]+")
 SEGMENTS = "id long, seg_pos int, lang string, confidence double, n_sentences int, n_words int, label string, wrong boolean, mixed boolean"
 
 
@@ -29,26 +29,35 @@ def fit_language_model(samples: DataFrame, max_samples: int = 20_000) -> Languag
     return LanguageModel.fit([(r.text, language_of_label(r.lang)) for r in rows if language_of_label(r.lang) >= 0])
 
 
-def adapt_language_model(translations: DataFrame, model: LanguageModel, doubt: float = 15.0) -> LanguageModel:
-    """One round of expectation-maximisation over the corpus: the words of every target whose stated language is not
-    refuted by `doubt` nats are counted, and the n-grams of that vocabulary join those of the samples."""
-    sc = translations.sparkSession.sparkContext
-    table = sc.broadcast(model.table)
+def add_label_words(st: list[Counter], c: dict[str, list], model: LanguageModel, doubt: float = 15.0) -> None:
+    """Counts the words of every target whose stated language is not refuted by `doubt` nats; st: one counter for each
+    language, and maybe one more for the words of all other targets."""
+    texts = [(t or "").replace("\x01", " ") for t in c["target"]]
+    label = np.array([language_of_label(x) for x in c["target_lang"]])
+    q = model.whole(texts)
+    good = (label >= 0) & (q.max(1) - q[np.arange(len(q)), label] < doubt)
+    for k in range(K):
+        if (mine := np.flatnonzero(good & (label == k))).size:
+            st[k].update(_WORD.findall(" ".join(texts[i] for i in mine).lower()))
+    if len(st) > K:
+        st[K].update(_WORD.findall(" ".join(texts[i] for i in np.flatnonzero(~good)).lower()))
 
-    def step(st: list[Counter], c: dict[str, list]) -> None:
-        texts = [t.replace("\x01", " ") for t in c["target"]]
-        label = np.array([language_of_label(x) for x in c["target_lang"]])
-        q = LanguageModel(table.value).whole(texts)
-        good = (label >= 0) & (q.max(1) - q[np.arange(len(q)), label] < doubt)
-        for k in range(K):
-            if (mine := np.flatnonzero(good & (label == k))).size:
-                st[k].update(_WORD.findall(" ".join(texts[i] for i in mine).lower()))
 
-    def end(st: list[Counter]) -> dict[str, object]:
-        return {"lang": [k for k in range(K) for _ in st[k]], "word": [w for x in st for w in x], "n": [float(n) for x in st for n in x.values()]}
+def label_word_rows(st: list[Counter]) -> dict[str, list]:
+    return {"lang": [k for k, x in enumerate(st) for _ in x], "word": [w for x in st for w in x], "n": [float(n) for x in st for n in x.values()]}
+
 
+def adapt_language_model(translations: DataFrame, model: LanguageModel) -> LanguageModel:
+    """One round of expectation-maximisation over the corpus: the n-grams of words counted by add_label_words join those
+    of the samples."""
+    table = translations.sparkSession.sparkContext.broadcast(model.table)
     rows = translations.select("target", "target_lang").filter("target is not null and target <> ''")
-    words = fold_partitions(rows, "lang int, word string, n double", lambda: [Counter() for _ in range(K)], step, end, ("target",)).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    step = lambda st, c: add_label_words(st, c, LanguageModel(table.value))
+    return adapted_to_words(model, fold_partitions(rows, "lang int, word string, n double", lambda: [Counter() for _ in range(K)], step, label_word_rows, ("target",)))
+
+
+def adapted_to_words(model: LanguageModel, counted: DataFrame) -> LanguageModel:
+    words = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
     def grams(st: dict, c: dict[str, list]) -> None:
         lang = np.array(c["lang"])

@@ -32,7 +32,8 @@ _CLOSERS = "\"”“’'‘*›»_~`)]}"
 _MARKS = ".!?…"
 _LAST = re.compile(r"[^\W_]+(?:['’][^\W_]+)*(?=[\W_]*$)")
 _WORD = re.compile(r"[^\W_]+")
-_FINAL = re.compile(r"([^\W_]+)[^\w.!?<]{0,3}[.!?]")
+_LAST_RUN = re.compile(r"[^\W_]+$")
+_MARK_RUN = re.compile(r"[.!?]+")
 _ANCHOR = re.compile(r"\d+|[^\W\d_a-zà-ÿа-я][^\W\d_]{3,}")
 UNITS = ("chars", "bytes", "words")
 
@@ -91,52 +92,74 @@ def ratio_key(source_lang: str | None, target_lang: str | None) -> str:
     return "@" if source_lang == "@" else f"{language_of_label(source_lang)}>{language_of_label(target_lang)}"
 
 
-def corpus_statistics(translations: DataFrame) -> DataFrame:
-    """Counts over all rows: words and words at sentence ends ('w'), lengths by model and unit with the open ones
-    ('chars', 'bytes', 'words'), log length ratios by language pair ('r'): kind, key, size, a, b, c."""
+STATISTICS = "kind string, key string, size int, a double, b double, c double"
+
+
+def new_statistics() -> dict:
+    return {"w": Counter(), "e": Counter(), "h": defaultdict(lambda: [0, 0]), "r": defaultdict(lambda: [0, 0.0, 0.0])}
+
+
+def final_words(text: str) -> list[str]:
+    """Last word before each run of marks, where at most three other characters stand between."""
+    out = []
+    for piece in _MARK_RUN.split(text)[:-1]:
+        last = piece.rsplit(None, 1)
+        word = (last[-1] if last else "").rstrip(_CLOSERS)
+        if not word and len(last) == 2:  # closing marks set off by a blank
+            word = last[0].rsplit(None, 1)[-1].rstrip(_CLOSERS)
+        if m := _LAST_RUN.search(word):
+            out.append(m.group())
+    return out
+
 
-    def start() -> dict:
-        return {"w": Counter(), "e": Counter(), "h": defaultdict(lambda: [0, 0]), "r": defaultdict(lambda: [0, 0.0, 0.0])}
-
-    def step(st: dict, c: dict[str, list]) -> None:
-        text = []
-        for t, s, m, sl, tl in zip(c["target"], c["source"], c["model"], c["source_lang"], c["target_lang"]):
-            if not t or t.isspace():
-                continue
-            opened, s_mark, body, _ = is_open(t, s)
-            if not opened:
-                text.append(t)
-                if s_mark and s and len(t) < 400:
-                    if t.count(".") + t.count("!") + t.count("?") == 1 == s.count(".") + s.count("!") + s.count("?"):
-                        x = math.log(len(body) / max(len(s), 1))
-                        if abs(x) < 0.7:
-                            r = st["r"][ratio_key(sl, tl)]
-                            r[0] += 1
-                            r[1] += x
-                            r[2] += x * x
-            if opened and len(t) < 40 and is_empty(t, s):
-                continue
-            k = model_key(m)
-            for unit, size in zip(UNITS, lengths(body)):
-                h = st["h"][unit, k, size]
-                h[0] += 1
-                h[1] += opened and s_mark
-        joined = " ".join(text).lower()
+def add_statistics(st: dict, c: dict[str, list], words: bool = True) -> None:
+    """Takes a piece in; words: count words too."""
+    text = []
+    for t, s, m, sl, tl in zip(c["target"], c["source"], c["model"], c["source_lang"], c["target_lang"]):
+        if not t or t.isspace():
+            continue
+        opened, s_mark, body, _ = is_open(t, s)
+        if not opened:
+            text.append(t)
+            if s_mark and s and len(t) < 400:
+                if t.count(".") + t.count("!") + t.count("?") == 1 == s.count(".") + s.count("!") + s.count("?"):
+                    x = math.log(len(body) / max(len(s), 1))
+                    if abs(x) < 0.7:
+                        r = st["r"][ratio_key(sl, tl)]
+                        r[0] += 1
+                        r[1] += x
+                        r[2] += x * x
+        if opened and len(t) < 40 and is_empty(t, s):
+            continue
+        k = model_key(m)
+        for unit, size in zip(UNITS, lengths(body)):
+            h = st["h"][unit, k, size]
+            h[0] += 1
+            h[1] += opened and s_mark
+    joined = " ".join(text).lower()
+    if words:
         st["w"].update(_WORD.findall(joined))
-        st["e"].update(_FINAL.findall(joined))
+    st["e"].update(final_words(joined))
 
-    def end(st: dict) -> dict[str, object]:
-        rows = [("w", w, 0, float(n), float(st["e"].get(w, 0)), 0.0) for w, n in st["w"].items()]
-        rows += [(u, k, size, float(n), float(o), 0.0) for (u, k, size), (n, o) in st["h"].items()]
-        rows += [("r", k, 0, float(n), x, y) for k, (n, x, y) in st["r"].items()]
-        cols = list(zip(*rows)) if rows else [()] * 6
-        return dict(zip(("kind", "key", "size", "a", "b", "c"), map(list, cols)))
 
-    cols = translations.select("source", "target", "model", "source_lang", "target_lang").filter("target is not null and target <> ''")
-    parts = fold_partitions(cols, "kind string, key string, size int, a double, b double, c double", start, step, end, ("source", "target"))
+def statistics_rows(st: dict) -> dict[str, list]:
+    rows = [("w", w, 0, float(n), float(st["e"].get(w, 0)), 0.0) for w, n in st["w"].items()]
+    rows += [(u, k, size, float(n), float(o), 0.0) for (u, k, size), (n, o) in st["h"].items()]
+    rows += [("r", k, 0, float(n), x, y) for k, (n, x, y) in st["r"].items()]
+    return dict(zip(("kind", "key", "size", "a", "b", "c"), map(list, zip(*rows) if rows else [()] * 6)))
+
+
+def summed_statistics(parts: DataFrame) -> DataFrame:
     return parts.groupBy("kind", "key", "size").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c"))
 
 
+def corpus_statistics(translations: DataFrame) -> DataFrame:
+    """Counts over all rows: words and words at sentence ends ('w'), lengths by model and unit with the open ones
+    ('chars', 'bytes', 'words'), log length ratios by language pair ('r'): kind, key, size, a, b, c."""
+    cols = translations.select("source", "target", "model", "source_lang", "target_lang").filter("target is not null and target <> ''")
+    return summed_statistics(fold_partitions(cols, STATISTICS, new_statistics, add_statistics, statistics_rows, ("source", "target")))
+
+
 def fit_censored(size: np.ndarray, n: np.ndarray, limit: int, censored: float, rounds: int = 40) -> tuple[float, float]:
     """Maximum likelihood of a log-normal from counts n of sizes and so many values censored at limit: mean, deviation."""
     x = np.log(np.maximum(size, 1.0))
@@ -191,65 +214,78 @@ def limits(statistics: DataFrame) -> DataFrame:
     return best.select("model_key", "best", F.explode("u").alias("u")).filter("u.t >= 0.5 * best").select("model_key", "u.unit", F.explode("u.x").alias("x")).select("model_key", "unit", "x.*")
 
 
-def judge(translations: DataFrame, threshold: float = 0.5, omit: float = 0.2, stats: DataFrame | None = None) -> DataFrame:
-    """Every open value with its log odds of being cut: id, model_key, censor_posterior, log_odds, cut.
+OPENED = "model_key string, chars int, bytes int, words int, word string, llr_length double, shape double, s_mark boolean"
+
+
+def length_ratios(stats: DataFrame) -> dict[str, tuple[float, float, float]]:
+    """Mean and deviation of the log length ratio of each language pair, and its number; at most 65 pairs."""
+    return {r.key: (r.b / r.a, math.sqrt(max(r.c / r.a - (r.b / r.a) ** 2, 0.0)), r.a) for r in stats.filter("kind = 'r'").collect()}
+
+
+def open_rows(c: dict[str, list], ratio: dict[str, tuple[float, float, float]], omit: float) -> dict[str, list]:
+    """The open values of a piece with what their endings tell."""
+    out: dict[str, list] = {k: [] for k in ("id", "model_key", "chars", "bytes", "words", "word", "llr_length", "shape", "s_mark")}
+    for i, t in enumerate(c["target"]):
+        s = c["source"][i]
+        opened, s_mark, body, core = is_open(t, s)
+        if not opened or is_empty(t, s):
+            continue
+        clean = _INVISIBLE_RE.sub("", core)
+        last = _LAST.search(clean)
+        if not last or (s is not None and clean.strip() == s.strip()):
+            continue
+        llr = shape = 0.0
+        if clean.rstrip()[-1:] in ",;:([{«„“‘" and s_mark:
+            shape += 3.0
+        if sum(map(clean.count, "“„«")) > sum(map(clean.count, "”»")) + ("„" in clean and clean.count("“")) and not clean.rstrip().endswith(("”", "»")):
+            shape += 2.5
+        if len(body) < len(t) or t[-1].isspace() or len(core) < len(ending(body)[1]):
+            shape += 1.5
+        if s:
+            mine = sentence_pieces(clean)
+            theirs = sentence_pieces(_INVISIBLE_RE.sub("", body_of(s)))
+            if mine and theirs:
+                tail = mine[-1]
+                anchors = {fold(x) for x in _ANCHOR.findall(tail)}
+                score = [len(anchors & {fold(x) for x in _ANCHOR.findall(p)}) for p in theirs]
+                best = max(score)
+                group = [p for p, x in zip(theirs, score) if x == best] if best else theirs[-1:]
+                other = theirs[-1] if theirs[-1] in group else group[-1]
+                mu, sd, n = ratio.get(ratio_key(c["source_lang"][i], c["target_lang"][i]), (0.0, 0.2, 0))
+                if n < 30:
+                    mu, sd = 0.0, 0.2
+                sd = min(max(sd, 0.1), 0.3)
+                r = len(tail) / max(len(other), 1) / math.exp(mu)
+                x = math.log(max(r, 1e-3))
+                # a whole sentence may also leave out a phrase of its source
+                whole_p = (1 - omit) * math.exp(-x * x / (2 * sd * sd)) / (sd * math.sqrt(2 * math.pi)) + (omit * 2 * r if 0.5 < r < 0.95 else 0.0) + 0.02
+                llr = math.log((r if r < 1.1 else 0.02) + 0.02) - math.log(whole_p)
+                if best == 0 and len(theirs) > 1 and len(mine) < len(theirs):
+                    llr = max(llr, 0.0)
+        n_chars, n_bytes, n_w = lengths(body)
+        word = unicodedata.normalize("NFC", last.group()).lower()
+        word = re.split(r"['’]", word)[-1] or word
+        for k, v in zip(out, (c["id"][i], model_key(c["model"][i]), n_chars, n_bytes, n_w, word, llr, shape, s_mark)):
+            out[k].append(v)
+    return out
 
-    omit: how often a whole sentence leaves out a phrase of its source; stats: corpus_statistics, if at hand."""
-    stats = stage(corpus_statistics(translations), "lengths") if stats is None else stats
-    found = limits(stats)
-    by_model = found.groupBy("model_key").agg(F.collect_list(F.struct("unit", "limit", "posterior")).alias("limits"))
-    ratio = {r.key: (r.b / r.a, math.sqrt(max(r.c / r.a - (r.b / r.a) ** 2, 0.0)), r.a) for r in stats.filter("kind = 'r'").collect()}  # at most 64 language pairs
-    whole = stats.filter("kind = 'w'").agg(F.sum("a"), F.sum("b")).first()
-    n_words, n_ends = (whole[0] or 1.0), (whole[1] or 1.0)
 
-    def scan(c: dict[str, list]) -> dict[str, object]:
-        out: dict[str, list] = {k: [] for k in ("id", "model_key", "chars", "bytes", "words", "word", "llr_length", "shape", "s_mark")}
-        for i, t in enumerate(c["target"]):
-            s = c["source"][i]
-            opened, s_mark, body, core = is_open(t, s)
-            if not opened or is_empty(t, s):
-                continue
-            clean = _INVISIBLE_RE.sub("", core)
-            last = _LAST.search(clean)
-            if not last or (s is not None and clean.strip() == s.strip()):
-                continue
-            llr = shape = 0.0
-            if clean.rstrip()[-1:] in ",;:([{«„“‘" and s_mark:
-                shape += 3.0
-            if sum(map(clean.count, "“„«")) > sum(map(clean.count, "”»")) + ("„" in clean and clean.count("“")) and not clean.rstrip().endswith(("”", "»")):
-                shape += 2.5
-            if len(body) < len(t) or t[-1].isspace() or len(core) < len(ending(body)[1]):
-                shape += 1.5
-            if s:
-                mine = sentence_pieces(clean)
-                theirs = sentence_pieces(_INVISIBLE_RE.sub("", body_of(s)))
-                if mine and theirs:
-                    tail = mine[-1]
-                    anchors = {fold(x) for x in _ANCHOR.findall(tail)}
-                    score = [len(anchors & {fold(x) for x in _ANCHOR.findall(p)}) for p in theirs]
-                    best = max(score)
-                    group = [p for p, x in zip(theirs, score) if x == best] if best else theirs[-1:]
-                    other = theirs[-1] if theirs[-1] in group else group[-1]
-                    mu, sd, n = ratio.get(ratio_key(c["source_lang"][i], c["target_lang"][i]), (0.0, 0.2, 0))
-                    if n < 30:
-                        mu, sd = 0.0, 0.2
-                    sd = min(max(sd, 0.1), 0.3)
-                    r = len(tail) / max(len(other), 1) / math.exp(mu)
-                    x = math.log(max(r, 1e-3))
-                    # a whole sentence may also leave out a phrase of its source
-                    whole_p = (1 - omit) * math.exp(-x * x / (2 * sd * sd)) / (sd * math.sqrt(2 * math.pi)) + (omit * 2 * r if 0.5 < r < 0.95 else 0.0) + 0.02
-                    llr = math.log((r if r < 1.1 else 0.02) + 0.02) - math.log(whole_p)
-                    if best == 0 and len(theirs) > 1 and len(mine) < len(theirs):
-                        llr = max(llr, 0.0)
-            n_chars, n_bytes, n_w = lengths(body)
-            word = unicodedata.normalize("NFC", last.group()).lower()
-            word = re.split(r"['’]", word)[-1] or word
-            for k, v in zip(out, (c["id"][i], model_key(c["model"][i]), n_chars, n_bytes, n_w, word, llr, shape, s_mark)):
-                out[k].append(v)
-        return out
 
+def judge(translations: DataFrame, threshold: float = 0.5, omit: float = 0.2) -> DataFrame:
+    """Every open value with its log odds of being cut: id, model_key, censor_posterior, log_odds, cut.
+
+    omit: how often a whole sentence leaves out a phrase of its source."""
+    stats = stage(corpus_statistics(translations), "lengths")
+    ratio = length_ratios(stats)
     cols = translations.select("id", "source", "target", "model", "source_lang", "target_lang").filter("id is not null and target is not null and target <> ''")
-    opened = map_pieces(cols, "id long, model_key string, chars int, bytes int, words int, word string, llr_length double, shape double, s_mark boolean", scan, ("source", "target"))
+    return decide(map_pieces(cols, f"id long, {OPENED}", lambda c: open_rows(c, ratio, omit), ("source", "target")), stats, threshold)
+
+
+def decide(opened: DataFrame, stats: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Log odds of open values from the statistics of the corpus and its limits."""
+    by_model = limits(stats).groupBy("model_key").agg(F.collect_list(F.struct("unit", "limit", "posterior")).alias("limits"))
+    whole = stats.filter("kind = 'w'").agg(F.sum("a"), F.sum("b")).first()
+    n_words, n_ends = (whole[0] or 1.0), (whole[1] or 1.0)
     words = stats.filter("kind = 'w'")
     vocabulary = words.select(F.col("key").alias("word"), F.col("a").alias("w_n"), F.col("b").alias("w_end"))
     # a cut inside a word of n letters leaves each of its n - 1 beginnings with the same chance
