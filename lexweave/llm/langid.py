@@ -77,7 +77,7 @@ class LanguageModel:
     def of_counts(cls, counts: np.ndarray, alpha: float = 0.3) -> LanguageModel:
         total = counts.sum(0, keepdims=True)
         used = counts.sum(1) > 0
-        logp = np.log((counts + alpha) / (total + alpha * used.sum()))
+        logp = np.log((counts + alpha) / (total + alpha * max(used.sum(), 1)))
         logp[~used] = 0
         return cls((logp - logp.mean(1, keepdims=True)).astype(np.float32), counts)
 
