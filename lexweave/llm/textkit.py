@@ -55,6 +55,7 @@ EMPTY_STRIP = r"<[^<>]*>|&[a-zA-Z]+;|&#\d+;|[^\p{L}\p{N}]"
 _INVISIBLE_RE = re.compile(f"[{INVISIBLE}]+")
 _MARKUP_RE = re.compile(r"<[^<>]*>|&[a-zA-Z]+;|&#\d+;")
 _PLACE = {re.sub(r"[^a-z]", "", p) for p in PLACEHOLDERS}
+_FOUR_WORDS = re.compile(r"(?:^|\s)[^\W_]{2,}[,.!?]? [^\W_]{2,}[,.!?]? [^\W_]{2,}[,.!?]? [^\W_]{2,}(?=[\s,.!?:;]|$)")
 _BLANKS_RE = re.compile(rf"[\s{INVISIBLE}]+")
 
 
@@ -63,6 +64,8 @@ def is_empty(target: str | None, source: str | None) -> bool:
     passed on unchanged from the source is not empty."""
     if target is None:
         return True
+    if _FOUR_WORDS.search(target):  # no placeholder has so many, and markup none in a row
+        return False
     if len(target) > 120:
         return not any(c.isalnum() for c in _MARKUP_RE.sub("", target))
     kept = "".join(c for c in _MARKUP_RE.sub(" ", target) if c.isalnum()).lower()
