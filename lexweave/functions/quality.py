@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,3 +95,25 @@ def content_terms(text: Column) -> Column:
 
 
 __all__ = ["adequacy", "bleeding", "bounded", "content_terms", "fluency", "formatting_issues", "mistranslations", "occurrences", "too_short", "untranslated_tokens", "word_set"]
+
+
+def untranslated_segments(source: Column, target: Column) -> Column:
+    """Source words of more than three characters that occur as whole words in the target, letter case ignored, by
+    regular expression: a word that is only marks matches any target with a word character. Python over batches, for
+    those who need word boundaries exactly; `untranslated_tokens` compares words in the JVM."""
+    def count(s: pd.Series, t: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(s, t):
+            if a is None or b is None:
+                out.append(None)
+                continue
+            hit: dict[str, bool] = {}
+            n = 0
+            for w in (x.lower().strip('.,!?;:"()[]{}') for x in a.split() if len(x) > 3):
+                if w not in hit:
+                    hit[w] = re.search(rf"\b{re.escape(w)}\b", b, re.IGNORECASE) is not None
+                n += hit[w]
+            out.append(n)
+        return pd.Series(out, dtype="Int32")
+
+    return F.pandas_udf(count, "int")(source, target)

@@ -181,3 +181,12 @@ def wrapped(text: Column, width: int) -> Column:
         return F.struct(F.when(fits, acc["lines"]).otherwise(F.concat(acc["lines"], F.array(F.rtrim(acc["line"])))).alias("lines"), F.when(fits, F.concat(acc["line"], token)).otherwise(token).alias("line"))
 
     return F.aggregate(tokens, start, merge, lambda a: F.when(F.trim(a["line"]) == "", a["lines"]).otherwise(F.concat(a["lines"], F.array(F.rtrim(a["line"])))))
+
+
+def side_by_side(left: Column, right: Column, width: int, gap: str = " | ") -> Column:
+    """Two texts wrapped beside each other in columns of half the width (20 characters at least), as lines."""
+    half = (max(width, 20) - len(gap)) // 2
+    both = F.struct(wrapped(left, half).alias("l"), wrapped(right, half).alias("r"))
+    n = F.greatest(F.size(both["l"]), F.size(both["r"]))
+    rows = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: i <= n)
+    return F.transform(rows, lambda i: F.concat(F.rpad(F.coalesce(F.try_element_at(both["l"], i), F.lit("")), half, " "), F.lit(gap), F.coalesce(F.try_element_at(both["r"], i), F.lit(""))))

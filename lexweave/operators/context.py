@@ -81,3 +81,16 @@ def top_n(rows: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame
 def keeps_context(sizes: Column, sources: Column) -> Column:
     """Whether a context survives the end of a chapter: fewer than ten paragraphs, and all its sources over 50 characters."""
     return (sizes < 10) & F.forall(sources, lambda s: F.length(s) > 50)
+
+
+def payload(messages: Column, model: Column | str, temperature: float = 0.5, max_tokens: int = 4096) -> Column:
+    """Body of a chat request as JSON; what stands before @ in a model's name asks for one provider."""
+    m = F.lit(model) if isinstance(model, str) else model
+    at = F.instr(m, "@") > 0
+    order = F.when(at, F.struct(F.array(F.regexp_extract(m, r"^(.*)@", 1)).alias("order")))
+    return F.to_json(F.struct(F.regexp_replace(m, r"^.*@", "").alias("model"), messages.alias("messages"), F.lit(temperature).alias("temperature"), F.lit(max_tokens).alias("max_tokens"), order.alias("provider")))
+
+
+def reply(body: Column) -> Column:
+    """Content of the first choice of a reply in JSON; null where there is none."""
+    return F.get_json_object(body, "$.choices[0].message.content")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import pieces, word_set
+
 
 def similar_pairs(sets: DataFrame, group: str, threshold: float = 0.8) -> DataFrame:
     """sets: group, words (array without repeats), n (how many members share the set). Pairs of different sets of a
@@ -31,3 +33,9 @@ def repeated_count(sets: DataFrame, group: str, threshold: float = 0.8) -> DataF
     equal = sets.groupBy(group).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("c"))
     other = similar_pairs(sets, group, threshold).groupBy(group).agg(F.sum(F.col("n_a") * F.col("n_b")).cast("long").alias("c"))
     return equal.unionByName(other).groupBy(group).agg(F.sum("c").alias("pairs"))
+
+
+def sentence_sets(rows: DataFrame, group: str, column: str) -> DataFrame:
+    """Distinct word sets of the sentences of a text, with how many sentences share each: group, words, n."""
+    s = rows.filter(F.col(column).isNotNull()).select(group, F.explode(pieces(F.col(column), r"[.!?]+")).alias("s"))
+    return s.select(group, F.array_sort(word_set(F.col("s"))).alias("words")).groupBy(group, "words").agg(F.count("*").alias("n"))

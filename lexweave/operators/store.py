@@ -157,9 +157,20 @@ def select_chapters(chapters: DataFrame, spec: str | None) -> DataFrame:
     return chapters.filter(F.col("chapter").isin(parse_selector(spec)))
 
 
-def copy_kind(source: Column, source_lang: Column, target_lang: Column) -> Column:
-    """'copy' where a text passes through: same language, or no ASCII letter in it."""
-    return F.when(~source.rlike("[a-zA-Z]") & (source != ""), "copy").when(F.lower(source_lang) == F.lower(target_lang), "copy")
+def chapters_for(rows: DataFrame, spec: str | None = None, by_length: bool = False, with_metadata: bool = True) -> DataFrame:
+    """Chapters of each book and pair's latest edition in the order in which they are worked off (`rank`): metadata first
+    if wanted, then as selected in ascending order, else by length or number."""
+    last = rows.groupBy("book", "source_lang", "target_lang").agg(F.coalesce(F.max("edition"), F.lit(0)).alias("edition"))
+    group = ["book", "source_lang", "target_lang"]
+    cond = None
+    for k in [*group, "edition"]:
+        c = F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+        cond = c if cond is None else cond & c
+    n = rows.alias("r").join(last.alias("l"), cond, "left_semi").groupBy(*group, "edition", "chapter").agg(F.count("*").alias("paragraphs"))
+    chosen = select_chapters(n.filter("chapter > 0"), spec)
+    chosen = chosen.unionByName(n.filter("chapter = 0")) if with_metadata else chosen
+    order = [F.col("chapter") != 0, *([F.desc("paragraphs")] if by_length and not (spec or "").strip() else []), "chapter"]
+    return chosen.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
 
 
 def candidates(paragraphs: DataFrame, memory: DataFrame) -> DataFrame:

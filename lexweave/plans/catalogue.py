@@ -311,18 +311,12 @@ def tm_untranslated_tokens(spark, d):
     return tm(spark, d).filter("target IS NOT NULL AND source IS NOT NULL").select("id", quality.untranslated_tokens(F.col("source"), F.col("target")).alias("untranslated"))
 
 
-def _sentence_sets(rows: DataFrame, group: str, column: str) -> DataFrame:
-    """Distinct word sets of a text's sentences with how many sentences share each."""
-    s = rows.filter(F.col(column).isNotNull()).select(group, F.explode(text.pieces(F.col(column), r"[.!?]+")).alias("s"))
-    return s.select(group, F.array_sort(text.word_set(F.col("s"))).alias("words")).groupBy(group, "words").agg(F.count("*").alias("n"))
-
-
 @query(f"""WITH s AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda p: {q_strip('p')}), lambda p: p <> '')) AS s FROM documents WHERE text IS NOT NULL),
 w AS (SELECT doc_id, list_sort({Q_SET('s')}) AS w, count(*) AS n FROM s GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w) AS i, len(w) AS z FROM w)
 SELECT doc_id, (sum(n * (n - 1) // 2) + coalesce(any_value(c), 0))::BIGINT AS pairs FROM k LEFT JOIN (
   SELECT a.doc_id AS d, sum(a.n * b.n) AS c FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.i < b.i AND least(a.z, b.z) > 0.8 * greatest(a.z, b.z) AND {q_jaccard('a.w', 'b.w')} > 0.8 GROUP BY 1) ON d = doc_id GROUP BY doc_id""")
 def doc_repeated_phrases(spark, d):
-    return similarity.repeated_count(_sentence_sets(documents(spark, d), "doc_id", "text"), "doc_id")
+    return similarity.repeated_count(similarity.sentence_sets(documents(spark, d), "doc_id", "text"), "doc_id")
 
 
 @query("""SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM (
@@ -341,6 +335,47 @@ def quality_report(spark, d):
     return pipeline.quality_report(tm(spark, d))
 
 
+Q_REPORT = f"""WITH {Q_NOW}, g AS (SELECT {Q_CHAPTER}, count(*) AS paragraphs, string_agg(target, chr(10) || chr(10) ORDER BY paragraph NULLS FIRST, id) AS t,
+  string_agg(coalesce(source, ''), chr(10) || chr(10) ORDER BY paragraph NULLS FIRST, id) AS s FROM now WHERE coalesce(source_lang <> '@', true) AND target <> '' GROUP BY ALL),
+f AS (SELECT {Q_CHAPTER}, {q_fluency('t')} AS fluency, {q_adequacy('s', 't')} AS adequacy FROM g)"""
+
+
+@query(f"""{Q_REPORT}, n AS (SELECT *, row_number() OVER (PARTITION BY book, source_lang, target_lang, edition ORDER BY chapter) AS n FROM f),
+a AS (SELECT book, source_lang, target_lang, edition, count(*) AS chapters, sum(fluency)::DOUBLE / count(*) AS fluency, sum(CASE WHEN n <= 5 THEN adequacy END)::DOUBLE / count(*) FILTER (WHERE n <= 5) AS adequacy FROM n GROUP BY ALL)
+SELECT *, trunc(fluency * 0.4::DOUBLE + adequacy * 0.4::DOUBLE + 100 * 0.2::DOUBLE)::INT AS overall FROM a""")
+def quality_report_book(spark, d):
+    return pipeline.book_report(tm(spark, d))
+
+
+@query(f"""WITH {Q_READ}, t AS (SELECT book, edition, chapter, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY paragraph, id) FILTER (paragraph > 0), '') AS x FROM readout WHERE text <> '' GROUP BY ALL),
+s AS (SELECT book, edition, chapter, unnest(list_filter(list_transform(regexp_split_to_array(x, '[.!?]+'), lambda p: {q_strip('p')}), lambda p: p <> '')) AS s FROM t),
+w AS (SELECT book, edition, chapter, list_sort({Q_SET('s')}) AS w, count(*) AS n FROM s GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY book, edition, chapter ORDER BY w) AS i, len(w) AS z FROM w),
+p AS (SELECT book, edition, chapter, sum(n * (n - 1) // 2) AS c FROM k GROUP BY ALL UNION ALL SELECT a.book, a.edition, a.chapter, sum(a.n * b.n) FROM k a JOIN k b ON a.book = b.book AND a.edition = b.edition AND a.chapter = b.chapter
+  AND a.i < b.i AND least(a.z, b.z) > 0.8 * greatest(a.z, b.z) AND {q_jaccard('a.w', 'b.w')} > 0.8 GROUP BY ALL),
+q AS (SELECT book, edition, chapter, sum(c)::BIGINT AS repeated FROM p GROUP BY ALL),
+e AS (SELECT book, edition, chapter, x, len({q_words('x')}) AS m, lower(x) AS low,
+  (({' + '.join(f"({q_count('x', m)} % 2)" for m in quality.PAIRED_MARKS)}) + len(list_filter(list_transform(list_filter(regexp_extract_all(x, '<[^>]+>'), lambda t: NOT starts_with(t, '</')), lambda t: trim(t, '<>/')),
+  lambda t: NOT list_contains(list_transform(list_filter(regexp_extract_all(x, '<[^>]+>'), lambda u: starts_with(u, '</')), lambda u: trim(u, '<>/')), t))))::INT AS formatting, {q_fluency('x')} AS fluency FROM t),
+r AS (SELECT book, edition, chapter, formatting, ((m > 0)::INT + ({' OR '.join(f"{q_count('low', w)} > m * 0.3" for w in quality.COMMON_WORDS)})::INT) AS mistranslations, coalesce(repeated, 0) AS repeated, fluency
+  FROM e LEFT JOIN q USING (book, edition, chapter)) SELECT *, formatting + mistranslations + repeated AS total FROM r""")
+def chapter_checks(spark, d):
+    return pipeline.chapter_checks(tm(spark, d))
+
+
+@query(f"""WITH l AS (SELECT book, source_lang, target_lang, coalesce(max(edition), 0) AS edition FROM translations GROUP BY ALL),
+n AS (SELECT t.book, t.source_lang, t.target_lang, t.edition, chapter, count(*) AS paragraphs FROM translations t JOIN l ON t.book = l.book AND t.source_lang IS NOT DISTINCT FROM l.source_lang
+  AND t.target_lang IS NOT DISTINCT FROM l.target_lang AND t.edition = l.edition GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY book, source_lang, target_lang ORDER BY chapter <> 0, paragraphs DESC, chapter)::INT AS rank FROM n WHERE chapter >= 0""")
+def chapters_by_length(spark, d):
+    return store.chapters_for(tm(spark, d), by_length=True)
+
+
+@query()
+def tm_untranslated_segments(spark, d):
+    """By regular expression in Python, tested against brute force: DuckDB's word boundaries know ASCII only."""
+    return tm(spark, d).filter("target IS NOT NULL AND source IS NOT NULL").select("id", quality.untranslated_segments(F.col("source"), F.col("target")).alias("untranslated"))
+
+
 # --- text -------------------------------------------------------------------------------------------------------------
 Q_TEXT = r'a-zA-Z\x{80}-\x{FFFF}"'
 

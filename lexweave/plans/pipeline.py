@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.quality import adequacy, fluency
+from ..functions.quality import adequacy, fluency, formatting_issues, mistranslations
 from ..functions.text import after_colon, language_code, markdown_html
 from ..operators import context as ctx
-from ..operators import store
+from ..operators import similarity, store
 from ..operators.model import LOW_ADEQUACY, better_of, changed, model_text, translatable
 from ..sources.epub import write_epub
 from ..sources.readers import chapter_texts, explode_paragraphs
@@ -105,3 +105,23 @@ def quality_report(rows: DataFrame) -> DataFrame:
     text = lambda f: F.array_join(F.transform("x", lambda s: F.coalesce(s[f], F.lit(""))), "\n\n")
     g = g.select(*key, F.size("x").cast("long").alias("paragraphs"), fluency(text("target")).alias("fluency"), adequacy(text("source"), text("target")).alias("adequacy"))
     return g.withColumn("consistency", F.lit(100)).withColumn("overall", (F.col("fluency") * 0.4 + F.col("adequacy") * 0.4 + F.lit(100) * 0.2).cast("int"))
+
+
+def book_report(rows: DataFrame, sample: int = 5) -> DataFrame:
+    """For each book, pair and edition: mean fluency of its chapters, mean adequacy of the first `sample`, and overall."""
+    r = quality_report(rows)
+    group = ["book", "source_lang", "target_lang", "edition"]
+    r = r.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy("chapter")))
+    g = r.groupBy(*group).agg(F.count("*").alias("chapters"), F.avg("fluency").alias("fluency"), F.avg(F.when(F.col("n") <= sample, F.col("adequacy"))).alias("adequacy"))
+    return g.withColumn("overall", (F.col("fluency") * 0.4 + F.col("adequacy") * 0.4 + F.lit(100) * 0.2).cast("int"))
+
+
+def chapter_checks(rows: DataFrame) -> DataFrame:
+    """Faults of each chapter's text by itself, without its source: formatting, points for mistranslation (any text is
+    long beside no source), repeated phrases, their total, and fluency."""
+    key = ["book", "edition", "chapter"]
+    texts = chapter_texts(store.overlay_read(rows).filter(store.is_filled(F.col("text")))).withColumn("_id", F.to_json(F.struct(*key)))
+    phrases = similarity.repeated_count(similarity.sentence_sets(texts, "_id", "markdown"), "_id")
+    t = F.col("markdown")
+    g = texts.join(phrases, "_id", "left").select(*key, formatting_issues(t).alias("formatting"), mistranslations(F.lit(""), t).alias("mistranslations"), F.coalesce("pairs", F.lit(0).cast("long")).alias("repeated"), fluency(t).alias("fluency"))
+    return g.withColumn("total", F.col("formatting") + F.col("mistranslations") + F.col("repeated"))

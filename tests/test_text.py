@@ -88,3 +88,40 @@ def test_scores(spark):
     context = F.array(F.struct(F.lit("other words here").alias("source"), F.lit("the same reply").alias("target")))
     assert value(spark, lambda a, b: quality.bleeding(a, b, context), "a fresh source", "The same reply") is True
     assert value(spark, lambda a, b: quality.bleeding(a, b, context), "other words here", "The same reply") is False
+
+
+def test_side_by_side(spark):
+    got = value(spark, lambda a, b: text.side_by_side(a, b, 23), "one two three four", "un deux")
+    assert got == ["one two    | un deux", "three four | "]
+    assert value(spark, lambda a, b: text.side_by_side(a, b, 23), "", "") == []
+
+
+def test_untranslated_segments(spark):
+    import re
+
+    pairs = [("Hello dear Wörld, ---- Hello", "hello ein wörld"), ("abc", "abc"), ("éclair éclair", "un éclair"), ("----", "x"), ("....", "")]
+    df = spark.createDataFrame([*pairs, (None, "x"), ("x", None)], "s string, t string")
+    got = [r.n for r in df.select(quality.untranslated_segments(F.col("s"), F.col("t")).alias("n")).collect()]
+    brute = [sum(bool(re.search(rf"\b{re.escape(w.lower().strip('.,!?;:()[]{}'))}\b", t, re.I)) for w in s.split() if len(w) > 3) for s, t in pairs]
+    assert got == [*brute, None, None]
+
+
+def test_tags(spark):
+    assert value(spark, text.tight_tags, "<a> <b>\n   Text > x") == "<a><b>Text > x"
+
+
+def test_sql_function(spark):
+    from lexweave.functions import html
+
+    html.register(spark)
+    assert spark.sql("SELECT html_markdown('<p>a <i>b</i></p>') AS x").first().x == "a *b*"
+
+
+def test_requests(spark):
+    import json
+
+    from lexweave.operators import context
+
+    m = F.array(F.struct(F.lit("user").alias("role"), F.lit("x").alias("content")))
+    r = spark.range(1).select(context.payload(m, "me@big").alias("p"), context.payload(m, "big").alias("q"), context.reply(F.lit('{"choices":[{"message":{"content":"ok"}}]}')).alias("r")).first()
+    assert json.loads(r.p)["provider"] == {"order": ["me"]} and json.loads(r.p)["model"] == "big" and "provider" not in json.loads(r.q) and r.r == "ok"
