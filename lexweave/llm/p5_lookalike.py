@@ -28,9 +28,9 @@ LATIN_CYRILLIC = dict(zip("aceopxykABEKMHOPCTXY", "асеорхукАВЕКМН
 #: Romanian letters written with a cedilla, and with the comma that belongs there.
 CEDILLA = str.maketrans("şţŞŢ", "șțȘȚ")
 
-_ODD_SPACE = r"\t\x0b\x0c\x85\xa0  -     　"
+_ODD_SPACE = r"\t\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CONTROL = r"\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f"
-_WIDTH = r"！-￮ﬀ-ﬆﬓ-ﬗ℀-⅏\U0001d400-\U0001d7ff"
+_WIDTH = r"\uff01-\uffee\ufb00-\ufb06\ufb13-\ufb17\U0001d400-\U0001d7ff"
 _DROP_RE = re.compile(f"[{_CONTROL}{INVISIBLE}]")
 _SPACE_RE = re.compile(f"[{_ODD_SPACE}]")
 _WIDTH_RE = re.compile(f"[{_WIDTH}]+")
@@ -38,7 +38,7 @@ _TOKEN = re.compile(r"[^\W\d_]+")
 _TOKEN_OR_TAG = re.compile(r"</?[^\W\d_]+|&[a-z]+;|[^\W\d_]+")
 
 _ODD_RE = re.compile(f"[{_ODD_SPACE}{_CONTROL}{INVISIBLE}{_WIDTH}\u0300-\u036f\u0483-\u0487\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2fşţŞŢ]")
-_LATIN_RE, _OTHER_RE = re.compile(r"[A-Za-zÀ-ɏḀ-ỿ]"), re.compile(r"[Ͱ-ԯἀ-῿]")
+_LATIN_RE, _OTHER_RE = re.compile(r"[A-Za-z\u00c0-\u024f\u1e00-\u1eff]"), re.compile(r"[\u0370-\u052f\u1f00-\u1fff]")
 
 
 def suspect(value: str) -> bool:
