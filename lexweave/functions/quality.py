@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import pieces, similarity, strip, word_count, word_set, words
+from .text import let, most_frequent, pieces, set_jaccard, strip, word_count, word_set, words
 
 #: Function words whose excess points to a mistranslation.
 COMMON_WORDS = ("the", "and", "or", "but", "of", "in", "on", "at", "to", "for", "with", "by")
@@ -23,16 +23,18 @@ def bounded(x: Column) -> Column:
 
 def fluency(text: Column) -> Column:
     """100 less a penalty for uneven sentences (split at full stops) and for the commonest word; 100 without sentences."""
-    sizes = F.transform(pieces(text, r"\."), word_count)
-    n = F.size(sizes).cast("double")
-    total = F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x)
-    squares = F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x * x)
-    variance = (F.size(sizes) * squares - total * total).cast("double") / (n * n)
-    from .text import most_frequent
 
-    w = words(F.lower(text))
-    score = F.lit(1.0) - variance / 1000 - F.try_divide(most_frequent(w).cast("double"), F.size(w).cast("double"))
-    return F.when(F.size(sizes) == 0, F.lit(100)).otherwise(bounded(score * 100))
+    def score(sizes: Column, w: Column) -> Column:
+        total = F.aggregate(sizes, F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("q")), lambda a, x: F.struct((a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")))
+        n = F.size(sizes).cast("double")
+
+        def of(t: Column) -> Column:
+            variance = (F.size(sizes) * t["q"] - t["s"] * t["s"]).cast("double") / (n * n)
+            return bounded((F.lit(1.0) - variance / 1000 - F.try_divide(most_frequent(w).cast("double"), F.size(w).cast("double"))) * 100)
+
+        return F.when(F.size(sizes) == 0, F.lit(100)).otherwise(let(of, total))
+
+    return let(score, F.transform(pieces(text, r"\."), word_count), words(F.lower(text)))
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -41,9 +43,13 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def adequacy(source: Column, target: Column) -> Column:
     """30 for the ratio of word counts, 50 for the overlap of word sets, 20 for the ratio of lengths; 0 if either is empty."""
-    o, t = F.lower(strip(source)), F.lower(strip(target))
-    score = _ratio(word_count(o), word_count(t)) * 30 + similarity(o, t) * 50 + _ratio(F.length(o), F.length(t)) * 20
-    return F.when((o == "") | (t == ""), F.lit(0)).otherwise(bounded(score))
+
+    def score(o: Column, t: Column, wo: Column, wt: Column) -> Column:
+        overlap = let(set_jaccard, F.array_distinct(wo), F.array_distinct(wt))
+        x = _ratio(F.size(wo), F.size(wt)) * 30 + overlap * 50 + _ratio(F.length(o), F.length(t)) * 20
+        return F.when((o == "") | (t == ""), F.lit(0)).otherwise(bounded(x))
+
+    return let(lambda o, t: let(score, o, t, words(o), words(t)), F.lower(strip(source)), F.lower(strip(target)))
 
 
 def too_short(source: Column, target: Column, least: int = 50) -> Column:
@@ -53,7 +59,11 @@ def too_short(source: Column, target: Column, least: int = 50) -> Column:
 
 def bleeding(source: Column, target: Column, context: Column) -> Column:
     """The target is far too short, or it repeats a target of the context whose source is another."""
-    return too_short(source, target) | F.exists(context, lambda c: (similarity(target, c["target"]) > 0.8) & (similarity(source, c["source"]) < 0.3))
+
+    def near(s: Column, t: Column) -> Column:
+        return F.exists(context, lambda c: (let(set_jaccard, t, word_set(c["target"])) > 0.8) & (let(set_jaccard, s, word_set(c["source"])) < 0.3))
+
+    return too_short(source, target) | let(near, word_set(source), word_set(target))
 
 
 def occurrences(text: Column, part: str) -> Column:
@@ -63,30 +73,40 @@ def occurrences(text: Column, part: str) -> Column:
 
 def untranslated_tokens(source: Column, target: Column) -> Column:
     """Source words of more than three characters that are words of the target, each as often as it occurs."""
+
     def bare(w: Column) -> Column:
         return F.regexp_replace(w, r"\A[.,!?;:\"()\[\]{}]+|[.,!?;:\"()\[\]{}]+\z", "")
 
     have = F.array_distinct(F.transform(words(F.lower(target)), bare))
     mine = F.transform(F.filter(words(source), lambda w: F.length(w) > 3), lambda w: bare(F.lower(w)))
-    return F.size(F.filter(mine, lambda w: (w != "") & F.array_contains(have, w)))
+    return let(lambda h, m: F.size(F.filter(m, lambda w: (w != "") & F.array_contains(h, w))), have, mine)
 
 
 def formatting_issues(target: Column) -> Column:
     """Marks left open, and opening tags whose inner text no closing tag has."""
     odd = sum((occurrences(target, m) % 2 for m in PAIRED_MARKS), F.lit(0))
-    tags = F.regexp_extract_all(target, F.lit("<[^>]+>"), F.lit(0))
-    closing = F.transform(F.filter(tags, lambda t: F.startswith(t, F.lit("</"))), lambda t: F.regexp_replace(t, r"\A[</>]+|[</>]+\z", ""))
-    opening = F.transform(F.filter(tags, lambda t: ~F.startswith(t, F.lit("</"))), lambda t: F.regexp_replace(t, r"\A[</>]+|[</>]+\z", ""))
-    return odd + F.size(F.filter(opening, lambda t: ~F.array_contains(closing, t)))
+
+    def unclosed(tags: Column) -> Column:
+        def inner(ts: Column) -> Column:
+            return F.transform(ts, lambda t: F.regexp_replace(t, r"\A[</>]+|[</>]+\z", ""))
+
+        closing = inner(F.filter(tags, lambda t: F.startswith(t, F.lit("</"))))
+        opening = inner(F.filter(tags, lambda t: ~F.startswith(t, F.lit("</"))))
+        return let(lambda o, c: F.size(F.filter(o, lambda t: ~F.array_contains(c, t))), opening, closing)
+
+    return odd + F.when(F.contains(target, F.lit("<")), let(unclosed, F.regexp_extract_all(target, F.lit("<[^>]+>"), F.lit(0)))).otherwise(F.when(target.isNotNull(), F.lit(0)))
 
 
 def mistranslations(source: Column, target: Column) -> Column:
     """Points for a target far too short, far too long, or full of one function word."""
-    n, m, low = word_count(source), word_count(target), F.lower(target)
-    much = F.lit(False)
-    for w in COMMON_WORDS:
-        much = much | (occurrences(low, w) > m * 0.3)
-    return sum((c.cast("int") for c in ((n > 10) & (m < n * 0.3), (n < 5) & (m > n * 5), much)), F.lit(0))
+
+    def points(n: Column, m: Column, low: Column) -> Column:
+        much = F.lit(False)
+        for w in COMMON_WORDS:
+            much = much | (occurrences(low, w) > m * 0.3)
+        return sum((c.cast("int") for c in ((n > 10) & (m < n * 0.3), (n < 5) & (m > n * 5), much)), F.lit(0))
+
+    return let(points, word_count(source), word_count(target), F.lower(target))
 
 
 def content_terms(text: Column) -> Column:

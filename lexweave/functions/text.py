@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -11,6 +12,13 @@ from pyspark.sql import functions as F
 WS = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 
+def let(fn: Callable[..., Column], *values: Column) -> Column:
+    """fn of values that are worked out once. Expressions with lambda functions are not shared by code generation, so
+    a value used several times, or inside a lambda, would otherwise be worked out each time."""
+    bound = F.array(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)]))
+    return F.transform(bound, lambda s: fn(*[s[f"v{i}"] for i in range(len(values))]))[0]
+
+
 def words(text: Column) -> Column:
     """White-space separated words; an empty array for blank text."""
     return F.filter(F.split(text, f"{WS}+"), lambda w: w != "")
@@ -42,7 +50,7 @@ def set_jaccard(a: Column, b: Column) -> Column:
 
 def similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of lower-case word sets."""
-    return set_jaccard(word_set(a), word_set(b))
+    return let(set_jaccard, word_set(a), word_set(b))
 
 
 def pieces(text: Column, pattern: str) -> Column:

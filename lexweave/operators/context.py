@@ -5,15 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import similarity, word_count
+from ..functions.text import let, set_jaccard, word_count, words
 from .store import is_filled
 
 SIZE, PREFILL, WORD_LIMIT = 5, 3, 512
 
 
+#: What a context holds of each pair.
+PAIR, PAIR_TYPE = ("id", "source", "target", "words"), "struct<id:bigint,source:string,target:string,words:int>"
+
+
+def pair_words(source: Column, target: Column) -> Column:
+    return word_count(source) + word_count(target)
+
+
 def admissible(source: Column, target: Column) -> Column:
     """Both have words, and a source of more than five words is not nearly its target."""
-    return (word_count(source) > 0) & (word_count(target) > 0) & ((word_count(source) <= 5) | (similarity(source, target) <= 0.95))
+    def ok(a: Column, b: Column) -> Column:
+        alike = let(set_jaccard, F.array_distinct(a), F.array_distinct(b))
+        return (F.size(a) > 0) & (F.size(b) > 0) & ((F.size(a) <= 5) | (alike <= 0.95))
+
+    return let(ok, words(F.lower(source)), words(F.lower(target)))
 
 
 def chapter_rank(rows: DataFrame) -> DataFrame:
@@ -24,25 +36,39 @@ def chapter_rank(rows: DataFrame) -> DataFrame:
 
 
 def rolling_pairs(rows: DataFrame, size: int = SIZE) -> DataFrame:
-    """Filled, admissible rows with the `size` pairs before them in their book and edition, oldest first. The context
-    flows across chapters in translation order, as in one run over the book."""
+    """Filled, admissible rows with the `size` pairs before them in their book and edition, oldest first, each with its
+    number of words. The context flows across chapters in translation order, as in one run over the book."""
     kept = chapter_rank(rows.filter(is_filled(F.col("target")))).filter(admissible(F.col("source"), F.col("target")))
+    kept = kept.withColumn("words", pair_words(F.col("source"), F.col("target")))
     w = Window.partitionBy("book", "edition").orderBy("chapter_rank", "paragraph", "id").rowsBetween(-size, -1)
-    return kept.withColumn("context", F.collect_list(F.struct("id", "source", "target")).over(w))
+    return kept.withColumn("context", F.collect_list(F.struct(*PAIR)).over(w)).drop("words")
 
 
 def within_budget(context: Column, limit: int = WORD_LIMIT) -> Column:
     """The newest pairs whose words fit the limit, stopping at the first that does not, oldest first."""
-    start = F.struct(F.lit(0).alias("used"), F.lit(False).alias("full"), F.array().cast("array<struct<id:bigint,source:string,target:string>>").alias("kept"))
+    start = F.struct(F.lit(0).alias("used"), F.lit(False).alias("full"), F.array().cast(f"array<{PAIR_TYPE}>").alias("kept"))
 
     def merge(acc: Column, pair: Column) -> Column:
-        cost = word_count(pair["source"]) + word_count(pair["target"])
-        full = acc["full"] | (acc["used"] + cost > limit)
-        return F.struct(F.when(full, acc["used"]).otherwise(acc["used"] + cost).alias("used"), full.alias("full"), F.when(full, acc["kept"]).otherwise(F.concat(F.array(pair), acc["kept"])).alias("kept"))
+        full = acc["full"] | (acc["used"] + pair["words"] > limit)
+        return F.struct(F.when(full, acc["used"]).otherwise(acc["used"] + pair["words"]).alias("used"), full.alias("full"), F.when(full, acc["kept"]).otherwise(F.concat(F.array(pair), acc["kept"])).alias("kept"))
 
     return F.aggregate(F.reverse(context), start, merge, lambda a: a["kept"])
 
 
+def context_of(rows: DataFrame, wanted: DataFrame, size: int = SIZE) -> DataFrame:
+    """The context of wanted rows (ids of rows) from the pairs before them: id, context. Only places and flags pass
+    through the window over a book; texts travel by an equi-join on their number, and only those that are needed."""
+    ok = is_filled(F.col("target")) & admissible(F.col("source"), F.col("target"))
+    ranked = chapter_rank(rows.withColumn("_ok", F.coalesce(ok, F.lit(False)).cast("int")))
+    w = Window.partitionBy("book", "edition").orderBy("chapter_rank", "paragraph", "id").rowsBetween(Window.unboundedPreceding, -1)
+    keys = ranked.select("id", "book", "edition", "chapter_rank", "paragraph", "_ok").withColumn("_n", F.coalesce(F.sum("_ok").over(w), F.lit(0)))
+    texts = rows.select("id", "source", "target").join(keys.filter("_ok = 1").select("id", "book", "edition", (F.col("_n") + 1).alias("_i")), "id")
+    need = keys.join(wanted.select("id"), "id", "left_semi").filter("_n > 0").select(F.col("id").alias("_for"), "book", "edition", F.explode(F.sequence(F.greatest(F.col("_n") - (size - 1), F.lit(1)), F.col("_n"))).alias("_i"))
+    pairs = need.join(texts, ["book", "edition", "_i"]).withColumn("words", pair_words(F.col("source"), F.col("target")))
+    g = pairs.groupBy("_for").agg(F.array_sort(F.collect_list(F.struct("_i", *PAIR))).alias("x"))
+    return g.select(F.col("_for").alias("id"), F.transform("x", lambda s: F.struct(*[s[f].alias(f) for f in PAIR])).alias("context"))
+
+
 def message(role: str, tag: Column, text: Column) -> Column:
     t = F.lower(tag)
     return F.struct(F.lit(role).alias("role"), F.concat(F.lit("<"), t, F.lit(">"), text, F.lit("</"), t, F.lit(">")).alias("content"))

@@ -251,7 +251,7 @@ y AS (SELECT id, c, list_filter(range(1, len(c) + 1), lambda k: coalesce(list_su
 SELECT id, len(fit) AS kept, coalesce(list_sum(list_transform(c[len(c) - len(fit) + 1:], lambda p: p.w)), 0)::BIGINT AS words FROM y""")
 def context_budget(spark, d):
     r = context.rolling_pairs(tm(spark, d)).withColumn("k", context.within_budget(F.col("context")))
-    cost = F.aggregate("k", F.lit(0).cast("long"), lambda a, p: a + text.word_count(p["source"]) + text.word_count(p["target"]))
+    cost = F.aggregate("k", F.lit(0).cast("long"), lambda a, p: a + p["words"])
     return r.select("id", F.size("k").cast("long").alias("kept"), cost.alias("words"))
 
 

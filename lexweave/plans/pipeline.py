@@ -19,6 +19,10 @@ SYSTEM = "Translate {source_lang} text to {target_lang}. Keep its Markdown. Answ
 SYSTEM_PROOF = "Correct this {target_lang} text. Keep its Markdown. Answer inside <{target_lang}> tags in lower case."
 
 
+def no_context() -> Column:
+    return F.array().cast(f"array<{ctx.PAIR_TYPE}>")
+
+
 def extract(chapters: DataFrame, memory: DataFrame, book: Column, source_lang: str, target_lang: str, new_edition: bool = False) -> DataFrame:
     """The memory with the paragraphs of chapters added: into the latest edition, or a new one if asked or there is none;
     empty targets of the pair go first; texts without letters are copied and known ones taken from the memory."""
@@ -39,14 +43,12 @@ def with_ids(rows: DataFrame, memory: DataFrame) -> DataFrame:
 
 
 def pending(rows: DataFrame) -> DataFrame:
-    """Rows still to translate, with the context that stored rows give: the five pairs before them in their book."""
-    ranked = ctx.chapter_rank(store.current(rows).filter(F.coalesce(F.col("source_lang") != store.OVERLAY, F.lit(True))))
-    ok = store.is_filled(F.col("target")) & ctx.admissible(F.col("source"), F.col("target"))
-    w = Window.partitionBy("book", "edition").orderBy("chapter_rank", "paragraph", "id").rowsBetween(-50, -1)
-    near = F.collect_list(F.when(ok, F.struct("id", "source", "target"))).over(w)
-    c = ctx.within_budget(F.slice(near, F.greatest(F.size(near) - ctx.SIZE + 1, F.lit(1)), ctx.SIZE))
-    with_context = ranked.withColumn("context", c)
-    return translatable(with_context.filter(~store.is_filled(F.col("target"))))
+    """Rows still to translate, with the context that stored rows give: the five pairs before them in their book, as many
+    of the newest as fit the word limit."""
+    now = store.current(rows).filter(F.coalesce(F.col("source_lang") != store.OVERLAY, F.lit(True)))
+    todo = translatable(now.filter(~store.is_filled(F.col("target"))))
+    c = ctx.context_of(now, todo).withColumn("context", ctx.within_budget(F.col("context")))
+    return todo.join(c, "id", "left").withColumn("context", F.coalesce("context", no_context()))
 
 
 def translate(rows: DataFrame, client_factory: Callable[[], object], model: str = "stub", min_interval: float = 0.0, parallel: int | None = None) -> DataFrame:
@@ -54,8 +56,7 @@ def translate(rows: DataFrame, client_factory: Callable[[], object], model: str
     context, and the better of both is kept."""
     todo = pending(rows).drop("duration", "fluency", "model", "created")
     first = model_text(todo, client_factory, SYSTEM, "translate", model, min_interval, parallel).withColumn("adequacy", adequacy(F.col("source"), F.col("reply")))
-    empty = F.array().cast("array<struct<id:bigint,source:string,target:string>>")
-    low = first.filter((F.col("adequacy") < LOW_ADEQUACY) & (F.col("reply") != "")).drop("reply", "adequacy", "duration").withColumn("context", empty)
+    low = first.filter((F.col("adequacy") < LOW_ADEQUACY) & (F.col("reply") != "")).drop("reply", "adequacy", "duration").withColumn("context", no_context())
     second = model_text(low, client_factory, SYSTEM, "translate", model, min_interval, parallel).withColumn("adequacy", adequacy(F.col("source"), F.col("reply")))
     done = better_of(first, second, ["id"]).filter(F.col("reply") != "")
     return done.select("id", "book", "edition", "chapter", "paragraph", "source_lang", "source", "target_lang", F.col("reply").alias("target"), F.col("duration").cast("int").alias("duration"), fluency(F.col("reply")).alias("fluency"), F.lit(model).alias("model"), F.localtimestamp().alias("created"))
@@ -65,7 +66,7 @@ def proofread(rows: DataFrame, client_factory: Callable[[], object], model: str
     """Overlay rows for translated rows that have none; replies that change nothing but layout give no row."""
     read = store.overlay_read(rows)
     todo = translatable(read.filter(store.is_filled(F.col("target")) & F.col("proof").isNull()).withColumn("_orig", F.col("source")).withColumn("source", F.col("target")).drop("target"))
-    todo = todo.withColumn("context", F.array().cast("array<struct<id:bigint,source:string,target:string>>")).drop("duration", "source_lang").withColumn("source_lang", F.col("target_lang"))
+    todo = todo.withColumn("context", no_context()).drop("duration", "source_lang").withColumn("source_lang", F.col("target_lang"))
     out = model_text(todo, client_factory, SYSTEM_PROOF, "proofread", model, min_interval, parallel)
     out = out.filter((F.col("reply") != "") & changed(F.col("source"), F.col("reply")))
     return out.select("id", "book", "edition", "chapter", "paragraph", F.lit(store.OVERLAY).alias("source_lang"), "source", "target_lang", F.col("reply").alias("target"), F.col("duration").cast("int").alias("duration"), fluency(F.col("reply")).alias("fluency"), F.lit(model).alias("model"), F.localtimestamp().alias("created"))
