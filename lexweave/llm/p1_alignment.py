@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .batches import map_pieces, scan_partitions
 from .textkit import K_LANGS, SENTENCE_END, Sentences, language_of_label
-from .vectors import D, RANK, PairModel, Terms, align, clean, gram_product, identity_vectors, orthonormal, paired_terms, start_matrix, term_vectors
+from .vectors import D, RANK, PairModel, Terms, align, clean, found_in, gram_product, identity_vectors, orthonormal, paired_terms, start_matrix, term_vectors
 
 #: The partial sums of a product are added up in so many blocks of terms.
 BLOCKS = 16
@@ -149,14 +149,19 @@ def alignments(translations: DataFrame, model: PairModel, min_source: int = 1, w
         for k, i in enumerate(keep):
             n, f, m = int(src.n[i]), int(tgt.first[k]), int(tgt.n[k])
             a, b = vs[at : at + n], vt[f : f + m]
-            words = [set((s_codes[s_at[at + x] : s_at[at + x + 1]] & (D - 1)).tolist()) for x in range(n)]
-            own = set().union(*words)
+            # a target sentence most of whose words are the source's is perhaps carried over from one of its sentences
+            mine = s_codes[s_at[at] : s_at[at + n]] & (D - 1)
+            theirs = t_codes[t_at[f] : t_at[f + m]] & (D - 1)
+            hits = np.bincount(np.repeat(np.arange(m), t_sizes[f : f + m]), weights=found_in(theirs, np.sort(mine)), minlength=m)
             free = []
             for y in range(m):
-                w = set((t_codes[t_at[f + y] : t_at[f + y + 1]] & (D - 1)).tolist())
-                # most of its words are the source's: perhaps carried over from one of its sentences
-                if not w or (2 * len(w & own) > len(w) and max(len(w & x) / len(w | x) for x in words if x or w) >= 0.6):
+                if not t_sizes[f + y]:
                     continue
+                if 2 * hits[y] > t_sizes[f + y]:
+                    w = set(t_codes[t_at[f + y] : t_at[f + y + 1]].tolist())
+                    words = (set(s_codes[s_at[at + x] : s_at[at + x + 1]].tolist()) for x in range(n))
+                    if max((len(w & x) / len(w | x) for x in words), default=0) >= 0.6:
+                        continue
                 free.append(y)
             if free:
                 sizes = s_sizes[at : at + n], t_sizes[f : f + m][free]
