@@ -18,8 +18,10 @@ PIECE_CHARS, PIECE_ROWS = 600_000, 4_000
 def pieces(cols: dict[str, list], texts: tuple[str, ...]) -> Iterator[dict[str, list]]:
     n = len(next(iter(cols.values()))) if cols else 0
     at, chars = 0, 0
-    for i in range(n):
-        size = sum(len(cols[t][i]) for t in texts if cols[t][i] is not None)
+    sizes = [0] * n
+    for t in texts:
+        sizes = [s + len(v) if v else s for s, v in zip(sizes, cols[t])]
+    for i, size in enumerate(sizes):
         if i > at and (chars + size > PIECE_CHARS or i - at >= PIECE_ROWS):
             yield {k: v[at:i] for k, v in cols.items()}
             at, chars = i, 0
