@@ -58,6 +58,7 @@ def within_budget(context: Column, limit: int = WORD_LIMIT) -> Column:
 def context_of(rows: DataFrame, wanted: DataFrame, size: int = SIZE) -> DataFrame:
     """The context of wanted rows (ids of rows) from the pairs before them: id, context. Only places and flags pass
     through the window over a book; texts travel by an equi-join on their number, and only those that are needed."""
+    rows = rows.select("id", "book", "edition", "chapter", "paragraph", "source", "target")
     ok = is_filled(F.col("target")) & admissible(F.col("source"), F.col("target"))
     ranked = chapter_rank(rows.withColumn("_ok", F.coalesce(ok, F.lit(False)).cast("int")))
     w = Window.partitionBy("book", "edition").orderBy("chapter_rank", "paragraph", "id").rowsBetween(Window.unboundedPreceding, -1)

@@ -45,7 +45,8 @@ def with_ids(rows: DataFrame, memory: DataFrame) -> DataFrame:
 def pending(rows: DataFrame) -> DataFrame:
     """Rows still to translate, with the context that stored rows give: the five pairs before them in their book, as many
     of the newest as fit the word limit."""
-    now = store.current(rows).filter(F.coalesce(F.col("source_lang") != store.OVERLAY, F.lit(True)))
+    own = rows.select(*store.SCHEMA.fieldNames())  # other columns may have the names of ours
+    now = store.current(own).filter(F.coalesce(F.col("source_lang") != store.OVERLAY, F.lit(True)))
     todo = translatable(now.filter(~store.is_filled(F.col("target"))))
     c = ctx.context_of(now, todo).withColumn("context", ctx.within_budget(F.col("context")))
     return todo.join(c, "id", "left").withColumn("context", F.coalesce("context", no_context()))
@@ -64,7 +65,7 @@ def translate(rows: DataFrame, client_factory: Callable[[], object], model: str
 
 def proofread(rows: DataFrame, client_factory: Callable[[], object], model: str = "stub", min_interval: float = 0.0, parallel: int | None = None) -> DataFrame:
     """Overlay rows for translated rows that have none; replies that change nothing but layout give no row."""
-    read = store.overlay_read(rows)
+    read = store.overlay_read(rows.select(*store.SCHEMA.fieldNames()))
     todo = translatable(read.filter(store.is_filled(F.col("target")) & F.col("proof").isNull()).withColumn("_orig", F.col("source")).withColumn("source", F.col("target")).drop("target"))
     todo = todo.withColumn("context", no_context()).drop("duration", "source_lang").withColumn("source_lang", F.col("target_lang"))
     out = model_text(todo, client_factory, SYSTEM_PROOF, "proofread", model, min_interval, parallel)
