@@ -55,7 +55,8 @@ def main(argv: list[str] | None = None) -> int:
     chosen = lambda rows: store.select_chapters(rows, n.chapters)
     for on, work in ((n.translate or every, pipeline.translate), (n.proofread, pipeline.proofread)):
         if on:
-            new = work(chosen(memory), client, model, n.throttle, n.parallel)
+            whole = {"memory": memory} if work is pipeline.translate else {}
+            new = work(chosen(memory), client, model, n.throttle, n.parallel, **whole)
             readers.write_store(store.upsert(memory, new.select(*memory.columns)).select(*memory.columns), path)
             memory = readers.read_store(spark, path)
     if n.build or every:

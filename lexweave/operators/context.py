@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let, set_jaccard, word_count, words
+from ..session import small_side, stage
 from .store import is_filled
 
 SIZE, PREFILL, WORD_LIMIT = 5, 3, 512
@@ -63,9 +64,10 @@ def context_of(rows: DataFrame, wanted: DataFrame, size: int = SIZE) -> DataFram
     ranked = chapter_rank(rows.withColumn("_ok", F.coalesce(ok, F.lit(False)).cast("int")))
     w = Window.partitionBy("book", "edition").orderBy("chapter_rank", "paragraph", "id").rowsBetween(Window.unboundedPreceding, -1)
     keys = ranked.select("id", "book", "edition", "chapter_rank", "paragraph", "_ok").withColumn("_n", F.coalesce(F.sum("_ok").over(w), F.lit(0)))
-    texts = rows.select("id", "source", "target").join(keys.filter("_ok = 1").select("id", "book", "edition", (F.col("_n") + 1).alias("_i")), "id")
     need = keys.join(wanted.select("id"), "id", "left_semi").filter("_n > 0").select(F.col("id").alias("_for"), "book", "edition", F.explode(F.sequence(F.greatest(F.col("_n") - (size - 1), F.lit(1)), F.col("_n"))).alias("_i"))
-    pairs = need.join(texts, ["book", "edition", "_i"]).withColumn("words", pair_words(F.col("source"), F.col("target")))
+    places = stage(need.join(keys.filter("_ok = 1").select("id", "book", "edition", (F.col("_n") + 1).alias("_i")), ["book", "edition", "_i"]).select("_for", "_i", "id"), "context")
+    texts = rows.filter(ok).select("id", "source", "target").join(small_side(places.select("id").distinct()), "id", "left_semi")
+    pairs = places.join(texts, "id").withColumn("words", pair_words(F.col("source"), F.col("target")))
     g = pairs.groupBy("_for").agg(F.array_sort(F.collect_list(F.struct("_i", *PAIR))).alias("x"))
     return g.select(F.col("_for").alias("id"), F.transform("x", lambda s: F.struct(*[s[f].alias(f) for f in PAIR])).alias("context"))
 

@@ -36,10 +36,10 @@ def current(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEY).agg(F.max(F.struct("id", *[c for c in rest if c != "id"])).alias("_x")).select(*KEY, "_x.*").select(*rows.columns)
 
 
-def best_translation(rows: DataFrame) -> DataFrame:
-    """For each language pair and source text the filled row of highest fluency, then least id."""
-    top = F.max(F.struct(F.coalesce("fluency", F.lit(-1)).alias("fluency"), (-F.col("id")).alias("n"), F.col("target")))
-    return rows.filter(is_filled(F.col("target"))).groupBy("source_lang", "target_lang", "source").agg(top.alias("x")).select("source_lang", "target_lang", "source", (-F.col("x.n")).alias("id"), "x.target", "x.fluency")
+def best_translation(rows: DataFrame, *more: str) -> DataFrame:
+    """For each language pair and source text the filled row of highest fluency, then least id; more: further columns of it."""
+    top = F.max(F.struct(F.coalesce("fluency", F.lit(-1)).alias("fluency"), (-F.col("id")).alias("n"), F.col("target"), *more))
+    return rows.filter(is_filled(F.col("target"))).groupBy("source_lang", "target_lang", "source").agg(top.alias("x")).select("source_lang", "target_lang", "source", (-F.col("x.n")).alias("id"), "x.target", "x.fluency", *[f"x.{c}" for c in more])
 
 
 def overlay_read(rows: DataFrame) -> DataFrame:

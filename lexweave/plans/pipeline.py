@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quality import adequacy, fluency, formatting_issues, mistranslations
-from ..functions.text import after_colon, language_code, markdown_html
+from ..functions.text import after_colon, language_code, markdown_html, strip_markdown
 from ..operators import context as ctx
 from ..operators import similarity, store
 from ..operators.model import LOW_ADEQUACY, better_of, changed, model_text, translatable
+from ..session import small_side, stage
 from ..sources.epub import write_epub
 from ..sources.readers import chapter_texts, explode_paragraphs
 
@@ -42,25 +43,54 @@ def with_ids(rows: DataFrame, memory: DataFrame) -> DataFrame:
     return rows.withColumn("_one", F.lit(1)).join(top.withColumn("_one", F.lit(1)), "_one").withColumn("id", F.col("_top") + 1 + F.monotonically_increasing_id()).drop("_one", "_top")
 
 
+def originals(rows: DataFrame) -> DataFrame:
+    """The current rows without overlays."""
+    own = rows.select(*store.SCHEMA.fieldNames())  # other columns may have the names of ours
+    return store.current(own).filter(F.coalesce(F.col("source_lang") != store.OVERLAY, F.lit(True)))
+
+
 def pending(rows: DataFrame) -> DataFrame:
     """Rows still to translate, with the context that stored rows give: the five pairs before them in their book, as many
     of the newest as fit the word limit."""
-    own = rows.select(*store.SCHEMA.fieldNames())  # other columns may have the names of ours
-    now = store.current(own).filter(F.coalesce(F.col("source_lang") != store.OVERLAY, F.lit(True)))
+    return with_context(originals(rows))
+
+
+def with_context(now: DataFrame) -> DataFrame:
+    """As pending, of current rows."""
     todo = translatable(now.filter(~store.is_filled(F.col("target"))))
     c = ctx.context_of(now, todo).withColumn("context", ctx.within_budget(F.col("context")))
     return todo.join(c, "id", "left").withColumn("context", F.coalesce("context", no_context()))
 
 
-def translate(rows: DataFrame, client_factory: Callable[[], object], model: str = "stub", min_interval: float = 0.0, parallel: int | None = None) -> DataFrame:
-    """Translated rows for the pending ones. A reply that scores under LOW_ADEQUACY is asked for once more, without
+def known(todo: DataFrame, memory: DataFrame) -> DataFrame:
+    """todo with the reply that needs no call and its model, null where there is none: the text itself within one
+    language, else its best translation in the memory as it lies (any book and edition, replaced rows too), else the text itself if it is only marks."""
+    place = F.xxhash64("source_lang", "target_lang", "source").alias("_h")  # only rows that may match are grouped
+    near = memory.withColumn("_h", place).join(small_side(todo.select(place).distinct()), "_h", "left_semi")
+    best = store.best_translation(near, "model").select("source_lang", "target_lang", "source", F.struct(F.col("target").alias("reply"), "model").alias("_best"))
+    copy = F.struct(F.col("source").alias("reply"), F.lit("copy").alias("model"))
+    same = F.lower("source_lang") == F.lower("target_lang")
+    reply = F.when(same, copy).when(F.col("_best").isNotNull(), F.col("_best")).when(strip_markdown(F.col("source"))["clean"] == "", copy)
+    return todo.join(best, ["source_lang", "target_lang", "source"], "left").withColumn("known", reply).drop("_best")
+
+
+def translate(rows: DataFrame, client_factory: Callable[[], object], model: str = "stub", min_interval: float = 0.0, parallel: int | None = None, memory: DataFrame | None = None) -> DataFrame:
+    """Translated rows for the pending ones, known texts from the memory (rows themselves by default) and all others by the
+    model, equal ones with the reply to the first. A reply that scores under LOW_ADEQUACY is asked for once more, without
     context, and the better of both is kept."""
-    todo = pending(rows).drop("duration", "fluency", "model", "created")
-    first = model_text(todo, client_factory, SYSTEM, "translate", model, min_interval, parallel).withColumn("adequacy", adequacy(F.col("source"), F.col("reply")))
+    now = stage(originals(rows), "now")
+    todo = stage(with_context(now).drop("duration", "fluency", "model", "created"), "pending")
+    todo = stage(known(todo, (rows if memory is None else memory).select(*store.SCHEMA.fieldNames())), "todo")
+    hits = todo.filter("known IS NOT NULL").select("*", "known.reply", "known.model", F.lit(0).alias("duration"))
+    misses = todo.filter("known IS NULL").drop("known").withColumn("_text", F.sha2(F.to_json(F.struct("source_lang", "target_lang", "source")), 256))
+    ask = misses.join(misses.groupBy("_text").agg(F.min("id").alias("id")), ["_text", "id"], "left_semi")
+    first = stage(model_text(ask, client_factory, SYSTEM, "translate", model, min_interval, parallel).withColumn("adequacy", adequacy(F.col("source"), F.col("reply"))), "first")
     low = first.filter((F.col("adequacy") < LOW_ADEQUACY) & (F.col("reply") != "")).drop("reply", "adequacy", "duration").withColumn("context", no_context())
     second = model_text(low, client_factory, SYSTEM, "translate", model, min_interval, parallel).withColumn("adequacy", adequacy(F.col("source"), F.col("reply")))
-    done = better_of(first, second, ["id"]).filter(F.col("reply") != "")
-    return done.select("id", "book", "edition", "chapter", "paragraph", "source_lang", "source", "target_lang", F.col("reply").alias("target"), F.col("duration").cast("int").alias("duration"), fluency(F.col("reply")).alias("fluency"), F.lit(model).alias("model"), F.localtimestamp().alias("created"))
+    replies = better_of(first, second, ["id"]).filter(F.col("reply") != "").select("_text", "reply", "duration", F.lit(model).alias("model"), F.col("id").alias("_asked"))
+    asked = misses.join(replies, "_text").withColumn("duration", F.when(F.col("id") == F.col("_asked"), F.col("duration")).otherwise(0))
+    done = hits.unionByName(asked, allowMissingColumns=True)
+    return done.select("id", "book", "edition", "chapter", "paragraph", "source_lang", "source", "target_lang", F.col("reply").alias("target"), F.col("duration").cast("int").alias("duration"), fluency(F.col("reply")).alias("fluency"), "model", F.localtimestamp().alias("created"))
 
 
 def proofread(rows: DataFrame, client_factory: Callable[[], object], model: str = "stub", min_interval: float = 0.0, parallel: int | None = None) -> DataFrame:

@@ -137,6 +137,17 @@ def test_pipeline(spark, memory, tmp_path):
     assert report.consistency == 100 and 0 <= report.overall <= 100
 
 
+def test_translate_known(spark):
+    """Texts of one language and texts of the memory are not sent; equal others are sent once."""
+    rows = [row(1, target="Bonjour", fluency=80), row(2, paragraph=2, target="Salut", fluency=95, book=2, model="best"), row(3, paragraph=3, target=""), row(4, paragraph=4, source="Same", target="", to="english"),
+            row(5, paragraph=5, source="Other", target=""), row(6, paragraph=6, source="***", target=""), row(7, chapter=2, source="Other", target=""), row(8, paragraph=8, target="", to="German")]
+    memory = spark.createDataFrame(rows, store.SCHEMA)
+    got = {r.id: (r.target, r.model) for r in pipeline.translate(memory, StubClient).collect()}
+    assert got == {3: ("Salut", "best"), 4: ("Same", "copy"), 5: ("[t] Other", "stub"), 6: ("***", "copy"), 7: ("[t] Other", "stub"), 8: ("[t] Hello there", "stub")}
+    part = pipeline.translate(memory.filter("id = 3"), StubClient, memory=memory)
+    assert [(r.id, r.target) for r in part.collect()] == [(3, "Salut")]
+
+
 def test_extract(spark, tmp_path):
     (tmp_path / "A. Writer - Book.md").write_text("Before\n\n# One\n\nText here.\n\n1234\n\n## Two\n\nMore.")
     chapters = readers.read_book(spark, str(tmp_path / "A. Writer - Book.md"))
