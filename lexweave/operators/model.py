@@ -128,15 +128,17 @@ class Caller:
 
 
 def model_text(rows: DataFrame, client_factory: Callable[[], object], system: str, kind: str = "translate", model: str = "stub", min_interval: float = 0.0, parallel: int | None = None) -> DataFrame:
-    """rows: source, source_lang, target_lang, context (array of struct source, target), any others. Adds reply and
-    duration (ms). Equal requests are sent once: they are collapsed first and joined back.
+    """rows: source, source_lang, target_lang, context (array of struct source, target), example (struct source, target;
+    may be lacking), any others. The example stands before the context and stays when that is cut. Adds reply and duration (ms). Equal requests are sent once: they are collapsed first and joined back.
 
     parallel: so many partitions, and so many requests at a time, at most; the throttle is each partition's own."""
     ship_package(rows.sparkSession)
-    ask = [c for c in ("source", "source_lang", "target_lang", "context")]
+    if "example" not in rows.columns:
+        rows = rows.withColumn("example", F.lit(None).cast("struct<source:string,target:string>"))
+    ask = ["source", "source_lang", "target_lang", "context", "example"]
     keyed = rows.withColumn("_req", F.sha2(F.to_json(F.struct(*ask)), 256))
     unique = keyed.groupBy("_req").agg(*[F.first(c).alias(c) for c in ask])
-    unique = unique.withColumn("_m", strip_markdown(F.col("source"))).select("_req", "source_lang", "target_lang", "context", "_m.*")
+    unique = unique.withColumn("_m", strip_markdown(F.col("source"))).select("_req", "source_lang", "target_lang", "context", "example", "_m.*")
     if parallel:
         unique = unique.repartition(parallel)
 
@@ -150,7 +152,8 @@ def model_text(rows: DataFrame, client_factory: Callable[[], object], system: st
 
                 def messages(pairs: list, r=r, s_tag=s_tag, t_tag=t_tag) -> list[dict]:
                     m = [{"role": "system", "content": system.format(source_lang=r.source_lang, target_lang=r.target_lang)}]
-                    for s, t in pairs:
+                    similar = [(r.example["source"], r.example["target"])] if r.example is not None else []
+                    for s, t in [*similar, *pairs]:
                         m += [{"role": "user", "content": f"<{s_tag}>{s}</{s_tag}>"}, {"role": "assistant", "content": f"<{t_tag}>{t}</{t_tag}>"}]
                     return [*m, {"role": "user", "content": f"<{s_tag}>{r.clean}</{s_tag}>"}]
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import words
+from ..session import small_side, stage
 
 KEY = ["book", "source_lang", "target_lang", "edition", "chapter", "paragraph"]
 PLACE = ["book", "edition", "chapter", "paragraph"]
@@ -101,6 +102,32 @@ def top_hit(hits: DataFrame, by: list[str]) -> DataFrame:
     return hits.groupBy(*by).agg(F.max(F.struct(F.coalesce("fluency", F.lit(-1)).alias("fluency"), (-F.col("id")).alias("n"), "source", "target")).alias("x")).select(*by, (-F.col("x.n")).alias("id"), "x.source", "x.target", "x.fluency")
 
 
+def best_hits(rows: DataFrame, phrases: DataFrame, most_words: int = 10) -> DataFrame:
+    """The top hit of `search` for each distinct phrase and language pair (phrase, source_lang, target_lang), as example.
+    Words are looked up in the vocabulary by their first three characters; the rarest word of a phrase finds the rows, and
+    all of its words are checked there."""
+    pair = ["source_lang", "target_lang"]
+    terms = F.array_distinct(words(F.lower("phrase")))
+    q = stage(phrases.select("phrase", *pair).distinct().filter(F.size(words(F.col("phrase"))).between(1, most_words)).withColumn("terms", terms), "phrases")
+    hits = rows.filter(is_filled(F.col("target"))).select("id", *pair, "source", "target", "fluency")
+    token = F.explode(F.array_distinct(words(F.lower("source")))).alias("token")
+    v = hits.select(*pair, token).groupBy(*pair, "token").agg(F.count("*").alias("n"))
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda k: F.substring(F.col("token"), i, k))))
+    g = v.select(*pair, "token", "n", F.explode(F.array_distinct(grams)).alias("gram"))
+    t = q.select(*pair, F.explode("terms").alias("term")).distinct().withColumn("gram", F.substring("term", 1, 3))
+    found = stage(t.join(g, [*pair, "gram"]).filter(F.contains("token", "term")).select(*pair, "term", "token", "n"), "found")
+    often = found.groupBy(*pair, "term").agg(F.sum("n").alias("n"))
+    rare = q.select("phrase", *pair, F.explode("terms").alias("term")).join(often, [*pair, "term"], "left").groupBy("phrase", *pair).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("x"))
+    need = rare.filter("x.n > 0").select("phrase", *pair, "x.term").join(found, [*pair, "term"]).join(q, ["phrase", *pair]).select(*pair, "token", "phrase", "terms")
+    every = lambda rows: rows.filter(F.forall("terms", lambda w: F.contains("_s", w)))
+    low = hits.withColumn("_s", F.lower("source"))
+    near = every(low.select("id", *pair, "fluency", "_s", token).join(small_side(stage(need, "need")), [*pair, "token"]))
+    top = near.groupBy("phrase", *pair).agg(F.max(F.struct(F.coalesce("fluency", F.lit(-1)).alias("fluency"), (-F.col("id")).alias("n")))["n"].alias("n"))
+    ids = stage(top.join(q, ["phrase", *pair]).select("phrase", *pair, "terms", (-F.col("n")).alias("id")), "ids")
+    texts = every(low.join(small_side(ids), ["id", *pair]))
+    return top_hit(texts, ["phrase", *pair]).select("phrase", *pair, F.struct("source", "target").alias("example"))
+
+
 def _anti(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Left rows without a partner; null key values match each other."""
     r = right.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()

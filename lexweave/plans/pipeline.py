@@ -52,13 +52,13 @@ def originals(rows: DataFrame) -> DataFrame:
 def pending(rows: DataFrame) -> DataFrame:
     """Rows still to translate, with the context that stored rows give: the five pairs before them in their book, as many
     of the newest as fit the word limit."""
-    return with_context(originals(rows))
+    return with_context(originals(rows)).withColumn("context", ctx.within_budget(F.col("context")))
 
 
 def with_context(now: DataFrame) -> DataFrame:
-    """As pending, of current rows."""
+    """As pending, of current rows and without the word limit."""
     todo = translatable(now.filter(~store.is_filled(F.col("target"))))
-    c = ctx.context_of(now, todo).withColumn("context", ctx.within_budget(F.col("context")))
+    c = ctx.context_of(now, todo)
     return todo.join(c, "id", "left").withColumn("context", F.coalesce("context", no_context()))
 
 
@@ -74,22 +74,73 @@ def known(todo: DataFrame, memory: DataFrame) -> DataFrame:
     return todo.join(best, ["source_lang", "target_lang", "source"], "left").withColumn("known", reply).drop("_best")
 
 
+def with_phrase(asked: DataFrame) -> DataFrame:
+    return asked.withColumn("phrase", strip_markdown(F.col("source"))["clean"])
+
+
+def with_example(asked: DataFrame, hits: DataFrame) -> DataFrame:
+    """asked with the best hit of a search for its words as example, null where there is none."""
+    return with_phrase(asked).join(hits, ["phrase", "source_lang", "target_lang"], "left").drop("phrase")
+
+
+def prefill_pairs(rows: DataFrame, todo: DataFrame, hits: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Up to three pairs for each book and language pair with rows to do (x: rank, place, id, source, target, words),
+    stored ones of the chapter that is translated first, then of others, then untranslated texts that the model is asked
+    for one after another, each with the pairs before it. Such replies are not stored."""
+    by = ["book", "source_lang", "target_lang"]
+    places = ctx.chapter_rank(rows.select("id", *by, "edition", "chapter")).join(todo.select("id"), "id", "left_semi")
+    chapter = places.groupBy(*by).agg(F.min(F.struct("chapter_rank", "chapter"))["chapter"].alias("_first"))
+    pre = ctx.prefill(rows.select("id", *by, "chapter", "source", "target").join(chapter, by), F.col("_first"))
+    pre = stage(pre.withColumn("place", F.struct("priority", F.when(F.col("priority") == 1, -F.col("rank")).otherwise(F.col("rank")).alias("n"))).drop("chapter", "_first"), "prefill")
+    cols = [*by, "rank", "place", "id", "source", "target"]
+    pairs = pre.filter("priority < 3").select(*cols)
+    fields = [F.col(c) for c in ("rank", "place", "id", "source", "target")] + [ctx.pair_words(F.col("source"), F.col("target")).alias("words")]
+    group = lambda p: p.groupBy(*by).agg(F.collect_list(F.struct(*fields)).alias("x"))
+    drafts = pre.filter((F.col("priority") == 3) & (F.lower("source_lang") != F.lower("target_lang"))).withColumn("source", strip_markdown(F.col("source"))["clean"]).filter("source <> ''").drop("target")
+    if not drafts.isEmpty():
+        drafts = stage(with_example(drafts, hits), "drafts")
+        for n in range(1, ctx.PREFILL + 1):
+            d = drafts.filter(F.col("rank") == n).join(group(pairs), by, "left").withColumn("context", ctx.within_budget(in_place(F.coalesce("x", F.array()))))
+            replies = ask(d.drop("x")).withColumnRenamed("reply", "target").filter(store.is_filled(F.col("target")) & ctx.admissible(F.col("source"), F.col("target")))
+            pairs = stage(pairs.unionByName(replies.select(*cols)), "pairs")
+    return group(pairs)
+
+
+def in_place(x: Column) -> Column:
+    """Pairs of a prefill in the order in which they stand in a context."""
+    return F.transform(F.array_sort(F.transform(x, lambda p: F.struct(p["place"].alias("place"), *[p[f].alias(f) for f in ctx.PAIR]))), lambda p: F.struct(*[p[f].alias(f) for f in ctx.PAIR]))
+
+
+def prefilled(todo: DataFrame, pairs: DataFrame) -> DataFrame:
+    """todo with contexts of under three pairs filled up to three from those of the book, and all kept to the word limit."""
+    own = F.transform("context", lambda c: c["id"])
+    more = F.slice(F.array_sort(F.filter("x", lambda p: ~F.array_contains(own, p["id"]))), F.lit(1), F.greatest(F.lit(ctx.PREFILL) - F.size("context"), F.lit(0)))
+    full = F.concat(F.when(F.col("x").isNull(), no_context()).otherwise(in_place(more)), F.col("context"))
+    return todo.join(pairs, ["book", "source_lang", "target_lang"], "left").withColumn("context", ctx.within_budget(full)).drop("x")
+
+
 def translate(rows: DataFrame, client_factory: Callable[[], object], model: str = "stub", min_interval: float = 0.0, parallel: int | None = None, memory: DataFrame | None = None) -> DataFrame:
     """Translated rows for the pending ones, known texts from the memory (rows themselves by default) and all others by the
-    model, equal ones with the reply to the first. A reply that scores under LOW_ADEQUACY is asked for once more, without
+    model, equal ones with the reply to the first. Requests have a similar example of the memory, and contexts are filled up
+    to three pairs. A reply that scores under LOW_ADEQUACY is asked for once more, without
     context, and the better of both is kept."""
     now = stage(originals(rows), "now")
     todo = stage(with_context(now).drop("duration", "fluency", "model", "created"), "pending")
-    todo = stage(known(todo, (rows if memory is None else memory).select(*store.SCHEMA.fieldNames())), "todo")
-    hits = todo.filter("known IS NOT NULL").select("*", "known.reply", "known.model", F.lit(0).alias("duration"))
+    table = (rows if memory is None else memory).select(*store.SCHEMA.fieldNames())
+    todo = stage(known(todo, table), "todo")
+    ready = todo.filter("known IS NOT NULL").select("*", "known.reply", "known.model", F.lit(0).alias("duration"))
     misses = todo.filter("known IS NULL").drop("known").withColumn("_text", F.sha2(F.to_json(F.struct("source_lang", "target_lang", "source")), 256))
     ask = misses.join(misses.groupBy("_text").agg(F.min("id").alias("id")), ["_text", "id"], "left_semi")
-    first = stage(model_text(ask, client_factory, SYSTEM, "translate", model, min_interval, parallel).withColumn("adequacy", adequacy(F.col("source"), F.col("reply"))), "first")
+    call = lambda asked: model_text(asked, client_factory, SYSTEM, "translate", model, min_interval, parallel)
+    hits = stage(store.best_hits(table, with_phrase(todo if memory is None else todo.select("source", "source_lang", "target_lang").unionByName(memory.filter(~store.is_filled(F.col("target"))).select("source", "source_lang", "target_lang")))), "examples")
+    pairs = prefill_pairs(now if memory is None else stage(originals(memory), "whole"), ask, hits, call)
+    ask = prefilled(with_example(ask, hits), pairs)
+    first = stage(call(ask).withColumn("adequacy", adequacy(F.col("source"), F.col("reply"))), "first")
     low = first.filter((F.col("adequacy") < LOW_ADEQUACY) & (F.col("reply") != "")).drop("reply", "adequacy", "duration").withColumn("context", no_context())
-    second = model_text(low, client_factory, SYSTEM, "translate", model, min_interval, parallel).withColumn("adequacy", adequacy(F.col("source"), F.col("reply")))
+    second = call(low).withColumn("adequacy", adequacy(F.col("source"), F.col("reply")))
     replies = better_of(first, second, ["id"]).filter(F.col("reply") != "").select("_text", "reply", "duration", F.lit(model).alias("model"), F.col("id").alias("_asked"))
     asked = misses.join(replies, "_text").withColumn("duration", F.when(F.col("id") == F.col("_asked"), F.col("duration")).otherwise(0))
-    done = hits.unionByName(asked, allowMissingColumns=True)
+    done = ready.unionByName(asked, allowMissingColumns=True)
     return done.select("id", "book", "edition", "chapter", "paragraph", "source_lang", "source", "target_lang", F.col("reply").alias("target"), F.col("duration").cast("int").alias("duration"), fluency(F.col("reply")).alias("fluency"), "model", F.localtimestamp().alias("created"))
 
 

@@ -148,6 +148,40 @@ def test_translate_known(spark):
     assert [(r.id, r.target) for r in part.collect()] == [(3, "Salut")]
 
 
+def test_best_hits(spark, memory):
+    q = spark.createDataFrame([(p, "English", "French") for p in ("ELLO there", "world", "hello world", "", "o " * 11)], "phrase string, source_lang string, target_lang string")
+    assert {r.phrase: r.example.target for r in store.best_hits(memory, q).collect()} == {"ELLO there": "Allo", "world": "Monde"}
+
+
+def test_translate_requests(spark, tmp_path):
+    """A similar example and up to three pairs of the book go with every request, drafts of its own texts if it has none."""
+    log = str(tmp_path / "log")
+
+    class Logged(StubClient):
+        def complete(self, payload):
+            import json
+
+            with open(log, "a") as f:
+                f.write(json.dumps([m["content"] for m in payload["messages"][1:]]) + "\n")
+            return super().complete(payload)
+
+    long = [f"Sentence number {w} of a book with nothing translated in it yet." for w in ("one", "two")]
+    rows = [row(1, book=1, source="The silver lantern", target="La lanterne"), row(2, book=2, source="silver lantern", target=""),
+            *[row(3 + i, book=2, paragraph=2 + i, source=t, target="") for i, t in enumerate(long)],
+            *[row(6 + i, book=3, chapter=2, paragraph=i, source=f"An old text {i} which is longer than fifty characters by far.", target=f"Texte {i}") for i in range(4)],
+            row(20, book=3, chapter=2, paragraph=-1, source="Fresh words", target="")]
+    pipeline.translate(spark.createDataFrame(rows, store.SCHEMA), Logged).collect()
+    import json
+
+    asked = [json.loads(x) for x in open(log)]
+    last = {m[-1]: m for m in asked}
+    lantern = last["<english>silver lantern</english>"]
+    assert lantern[:2] == ["<english>The silver lantern</english>", "<french>La lanterne</french>"]
+    assert len(lantern) == 7 and {lantern[2], lantern[4]} == {f"<english>{t}</english>" for t in long}
+    assert len(last["<english>Fresh words</english>"]) == 7
+    assert sorted(len(m) for m in asked if "Sentence" in m[-1])[:2] == [1, 3]
+
+
 def test_extract(spark, tmp_path):
     (tmp_path / "A. Writer - Book.md").write_text("Before\n\n# One\n\nText here.\n\n1234\n\n## Two\n\nMore.")
     chapters = readers.read_book(spark, str(tmp_path / "A. Writer - Book.md"))
