@@ -45,7 +45,9 @@ def suspect(value: str) -> bool:
     """Whether a value may be inconsistent; false only where it certainly is not."""
     if _ODD_RE.search(value):
         return True
-    return not value.isascii() and bool(_OTHER_RE.search(value)) and bool(_LATIN_RE.search(value))
+    if value.isascii():
+        return False
+    return not unicodedata.is_normalized("NFC", value) or bool(_OTHER_RE.search(value)) and bool(_LATIN_RE.search(value))
 
 
 def script(c: str) -> str:

@@ -248,6 +248,11 @@ def test_consistent_form(value, form):
     assert unicodedata.is_normalized("NFC", form)
 
 
+@pytest.mark.parametrize("value", ["300 \u212a", "5 \u212b", "7 \u2126"])
+def test_lookalike_not_normal(value):
+    assert p5_lookalike.plain_form(value) != value and p5_lookalike.suspect(value)
+
+
 def test_repairs(spark):
     rows = [row(1, "thе cat", "le chat"), row(2, "they асе it", "x"), row(3, "an ace of it", "y"), row(4, "​", "​1"), row(5, "cаt", "z", chapter=0, paragraph=2), row(6, "they соо it", "x")]
     got = {(r.id, r.field): r.form for r in p5_lookalike.repairs(memory(spark, rows)).collect()}
