@@ -384,6 +384,66 @@ def test_pages(spark, text, spam):
     assert (r.link + r.tag + r.menu + r.stuffed > 0.5) is spam
 
 
+def test_verse_is_no_spam(spark):
+    """Lines without marks and a refrain, in a language without listed function words."""
+    lines = ["Тихий ветер несёт листья к реке", "Старик открыл дверь и долго молчал", "Мальчик смотрел на старый мост", "На холме спала большая собака", "Весной вернулись белые птицы", "Никто не видел её лица"]
+    text = "\n".join(f"{x}\nТолько снег падает на пустой двор." for x in lines)
+    r = p9_spam.judge_pages(spark.createDataFrame([(1, text, "s")], DOCS), frozenset(["the"])).first()
+    assert r.link + r.tag + r.menu + r.stuffed < 0.5
+
+
+def test_segments_are_linear():
+    """A line of many sentences with one spaced dash is cut at all of them, in time proportional to their number."""
+    import time
+
+    line = lambda n: "The old man opened the door. " * n + "He went — away."
+    assert len(p9_spam.segments_of(line(20))) == 21
+    p9_spam.segments_of(line(50))
+    took = []
+    for n in (500, 8_000):
+        began = time.perf_counter()
+        assert len(p9_spam.segments_of(line(n))) == n + 1
+        took.append(time.perf_counter() - began)
+    assert took[1] < 16 * 4 * max(took[0], 1e-3)
+    began = time.perf_counter()
+    p9_spam.features_of(["1. " * 50_000, "." * 50_000, "1, " * 30_000 + "x", "](" * 20_000, "a-" * 20_000, "<a <a " * 10_000], np.zeros(0, np.uint64))
+    assert time.perf_counter() - began < 30
+
+
+def test_features_of_a_batch():
+    """A page's features do not depend on the pages beside it."""
+    pages = [PROSE, "", "#cat #dog #cat", "cat, dog, cat, dog, cat\ncat, dog", "[cat](https://a.test/x) b.test/y\ncat 3.50", "the cat, 3, 14", PROSE + "\n" + PROSE]
+    known = np.sort(p9_spam.hashes_of(["the", "and", "was"]))
+    bits, words, n_of = p9_spam.features_of(pages, known)
+    at = np.concatenate([[0], np.cumsum(n_of)])
+    for i, p in enumerate(pages):
+        b, w, n = p9_spam.features_of([p], known)
+        assert n[0] == n_of[i] and b.tolist() == bits[at[i] : at[i + 1]].tolist() and w.tolist() == words[at[i] : at[i + 1]].tolist()
+
+
+def test_span_hashes():
+    from lexweave.llm import hashed
+
+    text = "cat dog cat été"
+    codes = hashed.codes_of(text)
+    start, end = hashed.spans(hashed.look_up("letter", codes))
+    h = hashed.SpanHash(hashed.look_up("fold", codes)).of(start, end)
+    assert h[0] == h[2] != h[1] and h.tolist() == hashed.hashes_of(["Cat", "dog", "cat", "ete"], "fold").tolist()
+    g, v = np.array([0, 0, 1, 0]), np.array([5, 5, 5, 6])
+    assert hashed.counts_within(g, v).tolist() == [2, 2, 1, 1] and hashed.first_of(g, v).tolist() == [True, False, True, True]
+
+
+def test_posteriors_of_many_pages():
+    m = p9_spam.PageModel()
+    rng = np.random.default_rng(3)
+    n_of = np.array([3, 0, 1, 7, 2])
+    bits = rng.integers(0, 1 << len(p9_spam.FEATURES), n_of.sum())
+    g, moves, first = m.posteriors(bits, n_of)
+    at = np.concatenate([[0], np.cumsum(n_of)])
+    alone = [m.posterior(bits[a:b]) for a, b in zip(at[:-1], at[1:]) if b > a]
+    assert np.allclose(g, np.concatenate([x[0] for x in alone])) and np.allclose(moves, sum(x[1] for x in alone)) and np.allclose(first, sum(x[0][0] for x in alone))
+
+
 def test_forward_backward_is_exact():
     """Posteriors against the sum over all state paths."""
     import itertools
