@@ -192,20 +192,13 @@ def features_of(texts: list[str], function_words: np.ndarray) -> tuple[np.ndarra
     pair = w[inner] * np.uint64(3) + w[inner + 1]
     same = np.bincount(ws[inner[counts_within(page[ws[inner]], pair) >= 3]], minlength=n)
 
-    # first words of short segments
-    some = np.flatnonzero((n_words >= 1) & (n_words <= 7))
-    head_n = np.zeros(n, np.int64)
-    head_n[some] = counts_within(page[some], w[first_word[some]])
-    heads = np.bincount(page[some], minlength=len(texts))[page]
-    head_common = np.zeros(n, bool)
-    head_common[some] = common[first_word[some]]
-
     # words that many different segments of the page have
     whole = np.zeros(n, np.uint64)
     has = np.flatnonzero(n_words)
     if len(has):
         whole[has] = np.add.reduceat(w * (np.arange(len(w), dtype=np.uint64) - np.repeat(first_word[has], n_words[has]).astype(np.uint64) + np.uint64(1)), first_word[has])
-    mine = content & first_of(page, whole)[ws]
+    new = first_of(page, whole)  # a refrain counts once
+    mine = content & new[ws]
     k = counts_within(page[ws[mine]], w[mine])
     total = np.bincount(page[ws[mine]], minlength=len(texts))
     top_of = (k >= 5) & (k >= 0.12 * total[page[ws[mine]]])
@@ -217,6 +210,16 @@ def features_of(texts: list[str], function_words: np.ndarray) -> tuple[np.ndarra
     best = np.zeros(n, np.int64)
     np.maximum.at(best, ws[content], counts_within(ws[content], w[content]))
 
+    # first words of short segments that differ
+    some = np.flatnonzero((n_words >= 1) & (n_words <= 7))
+    apart = some[new[some]]
+    head_n = np.zeros(n, np.int64)
+    both = counts_within(np.concatenate([page[apart], page[some]]), np.concatenate([w[first_word[apart]], w[first_word[some]]]))[len(apart) :]
+    head_n[some] = both - counts_within(page[some], w[first_word[some]])
+    heads = np.bincount(page[apart], minlength=len(texts))[page]
+    head_common = np.zeros(n, bool)
+    head_common[some] = common[first_word[some]]
+
     ends = tally(_at(_ENDS, text)) > 0
     tags = tally(_at(_HASHTAG, text))
     product = tally(_at(_PRODUCT, text)) > 0
