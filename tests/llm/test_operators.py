@@ -268,26 +268,83 @@ def test_defects(spark):
     rows += [row(1000 + i, f"On day {i} Mark said so. " + clause(rng)[0] + ".", refusals[i % 2]) for i in range(20)]
     s, t = clause(rng)
     rows += [row(2000, s + ".", None), row(2001, s + ".", f"<fr>{s}.</fr>"), row(2002, s + ".", "Der alte Mann öffnete die Tür und sah den Fluss."), row(2003, s + ".", t.rsplit(" ", 1)[0]), row(2004, "Mark Twain", "Mark Twain"),
-             row(2005, f"Mark said: “I am sorry, I cannot help.” {s}.", f"Mark dit : « I am sorry, I cannot help with translating. » {t}."), row(2006, s, "", model="copy"), row(2007, s, "", sl="@")]
+             row(2005, f"Mark said: “I am sorry, I cannot help.” {s}.", f"Mark dit : « I am sorry, I cannot help with translating. » {t}."), row(2006, s, "", model="copy"), row(2007, s, "", sl="@"), row(3000, "The cat of the old house", "The cat of the old house", chapter=0, paragraph=2)]
     books = spark.createDataFrame([(1, "French")], "book long, target_lang string")
     t = memory(spark, rows)
     got = {r.id: r.defect for r in p6_defects.defects(t, books, p6_defects.learn(t, m)).collect()}
     assert {i: d for i, d in got.items() if i < 1000} == {}
     assert all(got.get(1000 + i) == "refusal" for i in range(20))
+    assert got.get(3000) == "copy"  # metadata are judged as any other row
     assert {i: got.get(i) for i in range(2000, 2008)} == {2000: "empty", 2001: "copy", 2002: "wrong_language", 2003: "truncated", 2004: None, 2005: None, 2006: None, 2007: None}
 
 
 def test_opening_clusters(spark):
-    """Support by verified links against brute force over all pairs."""
+    """Clusters of openings of 6 to 12 words against brute force over all pairs: links found, none between unlike ones."""
     rng = random.Random(7)
-    base = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(16)) for _ in range(20)]
-    texts = sorted({*base, *(b.rsplit(" ", 1)[0] + " zzz" for b in base)})
-    df = spark.createDataFrame([(t, 1) for t in texts], "opening string, prompts long")
-    got = {r.opening: r.support for r in p6_defects.opening_clusters(df).collect()}
-    sh = {t: {" ".join(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts}
-    near = {t: sum(len(sh[t] & sh[u]) >= 0.8 * len(sh[t] | sh[u]) for u in texts) for t in texts}
-    assert set(got) == set(texts) and all(1 <= got[t] <= max(near.values()) for t in texts)
-    assert sum(got[t] >= near[t] for t in texts) >= 0.9 * len(texts)  # a cluster is its members around one of them
+    words = ["".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    base = [[rng.choice(words) for _ in range(rng.randint(6, 12))] for _ in range(60)]
+    texts = set()
+    for b in base:
+        for _ in range(6):
+            w = list(b)
+            w[rng.randrange(len(w))] = rng.choice(["a", "of", "no", *words[:20]])
+            texts.add(" ".join(w))
+    hot = " ".join(words[:11])  # a third of all openings are one template with another last word
+    texts |= {f"{hot} {w}" for w in words[:180]}
+    texts = sorted(texts)
+    df = spark.createDataFrame([(t, [i], [i]) for i, t in enumerate(texts)], "opening string, low array<long>, high array<long>")
+    df = df.select("opening", *[F.array(*[F.col(c)[0]] * p6_defects.SKETCH).alias(c) for c in ("low", "high")])
+    got = {r.opening: r for r in p6_defects.opening_clusters(df).collect()}
+    assert set(got) == set(texts)
+    sh = {t: {t[i : i + p6_defects.SHINGLE] for i in range(len(t) - p6_defects.SHINGLE + 1)} for t in texts}
+    links = [(a, b) for i, a in enumerate(texts) for b in texts[i + 1 :] if len(sh[a] & sh[b]) >= 0.8 * len(sh[a] | sh[b])]
+    found = sum(got[a].cluster == got[b].cluster for a, b in links)
+    assert len(links) > 1_000 and found >= 0.9 * len(links)
+    parent = {t: t for t in texts}
+
+    def root(t):
+        while parent[t] != t:
+            t = parent[t]
+        return t
+
+    for a, b in links:
+        parent[root(a)] = root(b)
+    assert all(root(t) == root(got[t].cluster) for t in texts)  # no cluster joins what no chain of links joins
+    number = {t: i for i, t in enumerate(texts)}
+    for c in {r.cluster for r in got.values()}:
+        mine = [number[t] for t in texts if got[t].cluster == c]
+        assert got[c].low == [min(mine)] * p6_defects.SKETCH and got[c].high == [max(mine)] * p6_defects.SKETCH
+
+
+def test_prompt_sketch():
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    near = far = 0
+    for _ in range(200):
+        a = rng.sample(words, 40)
+        b, c = [*a[1:], "other"], rng.sample(words, 40)
+        differ = lambda x, y: sum(i != j for i, j in zip(p6_defects.prompt_sketch(" ".join(x)), p6_defects.prompt_sketch(" ".join(y))))
+        near += differ(a, b) >= 2
+        far += differ(a, c) >= 2
+    assert near < 20 and far > 190
+    assert len(p6_defects.prompt_sketch("...")) == p6_defects.SKETCH
+
+
+def test_refusals_of_any_length():
+    w = p6_defects.Weights({x: 3.0 for x in "sorry i cannot translate this passage as it may be protected by law and would break our rules please ask another".split()})
+    long = "I am sorry, I cannot translate this passage. " + "It may be protected by law and would break our rules. " * 15
+    mixed = "Sorry, I cannot translate this passage as it may be protected. Kindly consult qualified colleagues elsewhere. " * 2
+    texts = [long, mixed, "Sorry.", "“I cannot translate this,” Mark Berg replied calmly yesterday evening near harbour.", "", None]
+    mean, n, high = p6_defects.refusal_scores(texts, w, 0.9)
+    source = "On day 17 Mark Berg said that the old clock stood still."
+    got = [bool(t) and p6_defects.is_refusal(source, t, mean[i], n[i], high[i], 0.9) for i, t in enumerate(texts)]
+    assert n[0] > 150 and got == [True, True, True, False, False, False]
+
+
+def test_same_beginning_is_not_one_prompt():
+    head = "On the first day of the long winter the "
+    a, b = (p6_defects.prompt_sketch(head + x) for x in ("miller lost his only horse behind the mill", "countess burned every letter of her brother"))
+    assert sum(x != y for x, y in zip(a, b)) >= 2
 
 
 # --- 7
@@ -321,12 +378,12 @@ def test_knapsack_is_exact():
         assert abs(sum(prices[i] * a for i, a in conf.items()) - best[30]) < 1e-9 and sum(sizes[i] * a for i, a in conf.items()) <= 30
 
 
-@pytest.mark.parametrize("capacity", [50, 5000])
+@pytest.mark.parametrize("capacity", [50, 5000, 8192])
 def test_pack(spark, capacity):
     rng = random.Random(10)
     items = [(i, rng.choice([1, 7, 20, 33, 49, 50, 51, 120, 333])) for i in range(500)] + [(9999, 0)]
     df = spark.createDataFrame(items, "doc_id long, tokens long").repartition(5)
-    rows = p7_packing.pack(df.filter("tokens > 0"), capacity, classes=40).collect()
+    rows = p7_packing.pack(df.filter("tokens > 0"), capacity)[0].collect()
     fill, whole = Counter(), Counter()
     for r in rows:
         fill[r.container] += r.tokens
@@ -334,6 +391,8 @@ def test_pack(spark, capacity):
     assert whole == {i: t for i, t in items if t} and max(fill.values()) <= capacity
     assert all(t > capacity for i, t in items if sum(r.doc_id == i for r in rows) > 1)
     assert sorted(fill) == list(range(len(fill)))
+    if capacity == 8192:  # exact lengths: no container more than the sum of lengths needs
+        assert len(fill) == -(-sum(t for _, t in items) // capacity)
 
 
 def test_tokens():
