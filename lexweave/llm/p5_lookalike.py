@@ -1,23 +1,25 @@
 """Problem 5: text that looks the same but differs in its characters.
 
-Method: script-aware repair. Widths, ligatures, accents, blanks and invisible characters have one form each. Within a
-token the dominant script is that of its letters without a look-alike; the other letters are substituted when all of
-them have look-alikes. The result is looked up in the vocabulary of the whole corpus. A token of mixed scripts whose
-dominant script is certain is repaired even when the vocabulary lacks it, since no proper word mixes scripts; a token
-wholly of another script than its neighbours, or without any certain letter, only when the vocabulary has the result.
-Nulls and values without letters give no row; empty tables give none; repeated rows each give their own; extra columns
-are not read.
+Method: script-aware repair. Widths, ligatures, accents, blanks and invisible characters have one form each. In a token
+of mixed scripts the dominant script is that of its letters without a look-alike, or of most letters where all have one; the other
+letters are substituted when all of them have look-alikes and the vocabulary of the corpus has the result: a word of one
+script seen at least `least` times in values that are not suspect. Two rules go beyond that and are parameters:
+`certain` repairs a mixed token whose dominant script is certain even if the vocabulary lacks the result (a rare name),
+since no proper word mixes scripts; `whole` repairs a token wholly of another script than both its neighbours if the
+vocabulary has the result. Nulls and values without letters give no row; empty tables give none; repeated rows each give
+their own; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import small_side, stage
 from .batches import map_pieces, scan_partitions
 from .textkit import INVISIBLE, is_empty
 
@@ -25,9 +27,13 @@ from .textkit import INVISIBLE, is_empty
 CYRILLIC_LATIN = dict(zip("асеорхуіјѕһԁԛԝүАВЕКМНОРСТХУІЈЅ", "aceopxyijshdqwyABEKMHOPCTXYIJS"))
 GREEK_LATIN = dict(zip("οναικρυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ovaikpuABEZHIKMNOPTYX"))
 LATIN_CYRILLIC = dict(zip("aceopxykABEKMHOPCTXY", "асеорхукАВЕКМНОРСТХУ"))
+CYRILLIC_GREEK = dict(zip("оАВЕНКМОРТХ", "οΑΒΕΗΚΜΟΡΤΧ"))
 #: Romanian letters written with a cedilla, and with the comma that belongs there.
 CEDILLA = str.maketrans("şţŞŢ", "șțȘȚ")
 
+#: Defaults of the two rules beyond the method (see above), and how often the vocabulary must have a word.
+CERTAIN, WHOLE, LEAST = False, False, 2
+
 _ODD_SPACE = r"\t\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CONTROL = r"\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f"
 _WIDTH = r"\uff01-\uffee\ufb00-\ufb06\ufb13-\ufb17\U0001d400-\U0001d7ff"
@@ -61,12 +67,13 @@ def script(c: str) -> str:
     return "?"
 
 
-_TO = {"L": {**CYRILLIC_LATIN, **GREEK_LATIN}, "C": LATIN_CYRILLIC, "G": {}}
-_SURE = {"L": frozenset(), "C": frozenset()}
+_TO = {"L": {**CYRILLIC_LATIN, **GREEK_LATIN}, "C": LATIN_CYRILLIC, "G": {**{b: a for a, b in GREEK_LATIN.items()}, **CYRILLIC_GREEK}}
 
 
 def _certain(c: str, s: str) -> bool:
     """A letter that can't stand in for one of another script."""
+    if s == "G":
+        return c not in GREEK_LATIN and c.lower() not in "γοε"
     if s == "L":
         return c not in LATIN_CYRILLIC and c not in "ijsIJSvVuNZhdqw"
     return c not in CYRILLIC_LATIN and c not in GREEK_LATIN and c not in "к"
@@ -80,8 +87,8 @@ def plain_form(text: str) -> str:
     return unicodedata.normalize("NFC", t).translate(CEDILLA)
 
 
-def token_repairs(text: str) -> list[tuple[int, int, str, bool]]:
-    """(start, end, repaired, needs the vocabulary) of each token with letters that may be look-alikes."""
+def token_repairs(text: str, certain: bool = CERTAIN, whole: bool = WHOLE) -> list[tuple[int, int, list[str], bool]]:
+    """(start, end, repaired forms the likeliest first, needs the vocabulary) of each token with letters that may be look-alikes."""
     found = []
     tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN_OR_TAG.finditer(text) if m.group()[0] not in "<&"]
     kinds = []
@@ -93,104 +100,115 @@ def token_repairs(text: str) -> list[tuple[int, int, str, bool]]:
         k = kinds[i]
         if "?" in k:
             continue
+        needs = True
         if len(k) > 1:
             sure = {script(c) for c in w if _certain(c, script(c))}
             if len(sure) > 1:
                 continue
             if sure:
-                goals, needs = [next(iter(sure))], False
+                goals, needs = [next(iter(sure))], not certain
             else:
                 counts = {s: sum(script(c) == s for c in w) for s in k}
-                goals, needs = sorted((s for s in counts if s != "G"), key=lambda s: -counts[s]), True
+                goals = sorted(counts, key=lambda s: -counts[s])
         else:
             near = [kinds[j] for j in (i - 1, i + 1) if 0 <= j < len(kinds)]
-            if k not in "CLG" or not near or any(n != near[0] for n in near) or near[0] == k or near[0] not in ("L", "C"):
+            if not whole or k not in "CLG" or not near or any(n != near[0] for n in near) or near[0] == k or near[0] not in ("L", "C", "G"):
                 continue
-            goals, needs = [near[0]], True
-        for goal in goals:
-            table = _TO[goal]
-            fixed = "".join(c if script(c) == goal else table.get(c, "\0") for c in w)
-            if "\0" not in fixed:
-                found.append((a, b, fixed, needs))
-                break
+            goals = [near[0]]
+        forms = ["".join(c if script(c) == goal else _TO[goal].get(c, "\0") for c in w) for goal in goals]
+        if forms := [f for f in forms if "\0" not in f]:
+            found.append((a, b, forms, needs))
     return found
 
 
-def consistent_form(text: str, attested: frozenset | set | None = None) -> str:
+def consistent_form(text: str, attested: frozenset | set | None = None, certain: bool = CERTAIN, whole: bool = WHOLE) -> str:
     """The one form of a value. attested: lower-case repaired tokens that the vocabulary has."""
     t = plain_form(text)
     if t.isascii():
         return t
     out, at = [], 0
-    for a, b, fixed, needs in token_repairs(t):
-        if not needs or (attested is not None and fixed.lower() in attested):
-            out += [t[at:a], fixed]
+    for a, b, forms, needs in token_repairs(t, certain, whole):
+        good = [f for f in forms if not needs or (attested is not None and f.lower() in attested)]
+        if good:
+            out += [t[at:a], good[0]]
             at = b
     return "".join(out) + t[at:]
 
 
+VALUES = "id long, field string, value string, meta boolean"
+
+
 def values_of(translations: DataFrame) -> DataFrame:
-    """One row for each value: id, field, value, other (the value of the other field)."""
-    t = translations.select("id", "source", "target", (F.coalesce(F.col("chapter") == 0, F.lit(False)) & F.coalesce(F.col("paragraph").between(0, 4), F.lit(False))).alias("meta")).filter("id is not null")
-    pair = F.array(F.struct(F.lit("source").alias("field"), F.col("source").alias("value"), F.lit(None).cast("string").alias("other")), F.struct(F.lit("target").alias("field"), F.col("target").alias("value"), F.col("source").alias("other")))
-    return t.select("id", "meta", F.explode(pair).alias("x")).select("id", "meta", "x.field", "x.value", "x.other")
+    """One row for each value: id, field, value."""
+    pair = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("source", "target")])
+    return translations.select("id", "source", "target").filter("id is not null").select("id", F.explode(pair).alias("x")).select("id", "x.field", "x.value")
 
 
-def repairs(translations: DataFrame) -> DataFrame:
-    """Values that differ from their consistent form: id, field, value, form, evidence. One scan finds the suspects and
-    gathers each partition's vocabulary of one-script tokens."""
+def repairs(translations: DataFrame, certain: bool = CERTAIN, whole: bool = WHOLE, least: int = LEAST) -> DataFrame:
+    """Values that differ from their consistent form: id, field, value, form, evidence, meta (metadata of a book: chapter
+    0, paragraphs 0 to 4). One scan finds the suspects and counts each partition's one-script words outside them."""
 
-    def step(state: set, c: dict[str, list]) -> dict[str, object]:
-        words = set(_TOKEN.findall(" ".join(v for k in ("source", "target") for v in c[k] if v).lower()))
-        state.update(words)
-        out: dict[str, list] = {k: [] for k in ("id", "field", "value", "sure", "pending")}
+    def step(state: Counter, c: dict[str, list]) -> dict[str, object]:
+        plain: list[str] = []
+        out: dict[str, list] = {k: [] for k in ("id", "field", "value", "meta", "sure", "pending")}
         for field in ("source", "target"):
             for i, v in enumerate(c[field]):
-                if not v or c["meta"][i] or not suspect(v) or not any(ch.isalpha() for ch in v) or is_empty(v, c["source"][i] if field == "target" else None):
+                if not v:
+                    continue
+                if not suspect(v):
+                    plain.append(v)
+                    continue
+                if not any(ch.isalpha() for ch in v) or is_empty(v, c["source"][i] if field == "target" else None):
                     continue
                 t = plain_form(v)
-                fixes = token_repairs(t) if not t.isascii() else []
+                fixes = token_repairs(t, certain, whole) if not t.isascii() else []
                 sure = t != v or any(not f[3] for f in fixes)
-                pending = sorted({f[2].lower() for f in fixes})
+                pending = sorted({x.lower() for f in fixes for x in f[2]})
                 if sure or pending:
-                    for k, x in zip(out, (c["id"][i], field, v, sure, pending)):
+                    for k, x in zip(out, (c["id"][i], field, v, c["meta"][i], sure, pending)):
                         out[k].append(x)
+        state.update(_TOKEN.findall(" ".join(plain).lower()))
         return out
 
-    def end(state: set) -> dict[str, object]:
-        return {"word": [w for w in state if w.isascii() or len({script(x) for x in w}) == 1]}
+    def end(state: Counter) -> dict[str, object]:
+        words = [w for w in state if w.isascii() or len({script(x) for x in w}) == 1]
+        return {"word": words, "n": [state[w] for w in words]}
 
-    t = translations.select("id", "source", "target", (F.coalesce(F.col("chapter") == 0, F.lit(False)) & F.coalesce(F.col("paragraph").between(0, 4), F.lit(False))).alias("meta")).filter("id is not null")
-    both = stage(scan_partitions(t, "id long, field string, value string, sure boolean, pending array<string>, word string", set, step, end, ("source", "target")), "suspects")
-    scanned, vocabulary = both.filter("word is null").drop("word"), both.filter("word is not null").select("word").distinct()
+    meta = F.coalesce(F.col("chapter") == 0, F.lit(False)) & F.coalesce(F.col("paragraph").between(0, 4), F.lit(False))
+    t = translations.select("id", "source", "target", meta.alias("meta")).filter("id is not null")
+    both = stage(scan_partitions(t, f"{VALUES}, sure boolean, pending array<string>, word string, n long", Counter, step, end, ("source", "target")), "suspects")
+    scanned = both.filter("word is null").drop("word", "n")
+    vocabulary = both.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("word")
     tokens = scanned.select("id", "field", F.explode("pending").alias("word"))
-    known = tokens.join(vocabulary, "word", "left_semi").groupBy("id", "field").agg(F.collect_set("word").alias("known"))
-    joined = scanned.select("id", "field", "value", "sure").join(known, ["id", "field"], "left").filter("sure or known is not null")
+    # a token that many values have meets the vocabulary once
+    attested = tokens.select("word").distinct().join(vocabulary, "word", "left_semi")
+    known = tokens.join(small_side(attested), "word").groupBy("id", "field").agg(F.collect_set("word").alias("known"))
+    joined = scanned.drop("pending").join(known, ["id", "field"], "left").filter("sure or known is not null")
 
     def finish(c: dict[str, list]) -> dict[str, object]:
-        forms = [consistent_form(v, set(k or ())) for v, k in zip(c["value"], c["known"])]
+        forms = [consistent_form(v, set(k or ()), certain, whole) for v, k in zip(c["value"], c["known"])]
         keep = [i for i, f in enumerate(forms) if f != c["value"][i]]
-        return {
-            "id": [c["id"][i] for i in keep], "field": [c["field"][i] for i in keep], "value": [c["value"][i] for i in keep],
-            "form": [forms[i] for i in keep], "evidence": ["vocabulary" if c["known"][i] else "characters" for i in keep],
-        }
+        return {**{k: [c[k][i] for i in keep] for k in ("id", "field", "value", "meta")}, "form": [forms[i] for i in keep], "evidence": ["vocabulary" if c["known"][i] else "characters" for i in keep]}
 
-    return map_pieces(joined, "id long, field string, value string, form string, evidence string", finish, ("value",))
+    return map_pieces(joined, f"{VALUES}, form string, evidence string", finish, ("value",))
 
 
 def p5_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repairs(spark.read.parquet(f"{sf_dir}/translations.parquet"))
+    """Every repaired value, metadata of books too."""
+    return repairs(spark.read.parquet(f"{sf_dir}/translations.parquet")).drop("meta")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p5_repairs(spark, sf_dir).select("id", "field")
+    """Inconsistent values; metadata of books hold no cases by definition."""
+    return repairs(spark.read.parquet(f"{sf_dir}/translations.parquet")).filter("not meta").select("id", "field")
 
 
 def p5_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every value in its one form: id, field, value (null stays null)."""
     t = spark.read.parquet(f"{sf_dir}/translations.parquet")
-    fixed = repairs(t).select("id", "field", "form")
-    return values_of(t).select("id", "field", "value").join(fixed, ["id", "field"], "left").select("id", "field", F.coalesce("form", "value").alias("value"))
+    # a row that is repeated has the same values and needs its form once
+    fixed = repairs(t).groupBy("id", "field", "value").agg(F.first("form").alias("form"))
+    return values_of(t).join(fixed, ["id", "field", "value"], "left").select("id", "field", F.coalesce("form", "value").alias("value"))
 
 
 QUERIES = {"p5_found": p5_found, "p5_repairs": p5_repairs, "p5_consistent": p5_consistent}
