@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import small_side, stage
 from .batches import fold_partitions, map_pieces
 from .textkit import SENTENCE_END, _INVISIBLE_RE, fold, is_empty, language_of_label
 
@@ -36,6 +36,8 @@ _LAST_RUN = re.compile(r"[^\W_]+$")
 _MARK_RUN = re.compile(r"[.!?]+")
 _ANCHOR = re.compile(r"\d+|[^\W\d_a-zà-ÿа-я][^\W\d_]{3,}")
 UNITS = ("chars", "bytes", "words")
+#: Beginnings of words are listed up to so many letters and found by comparison beyond.
+LONG_WORD = 40
 
 
 def model_key(model: str | None) -> str:
@@ -121,7 +123,7 @@ def add_statistics(st: dict, c: dict[str, list], words: bool = True) -> None:
         opened, s_mark, body, _ = is_open(t, s)
         if not opened:
             text.append(t)
-            if s_mark and s and len(t) < 400:
+            if s_mark and s:
                 if t.count(".") + t.count("!") + t.count("?") == 1 == s.count(".") + s.count("!") + s.count("?"):
                     x = math.log(len(body) / max(len(s), 1))
                     if abs(x) < 0.7:
@@ -278,7 +280,20 @@ def judge(translations: DataFrame, threshold: float = 0.5, omit: float = 0.2) ->
     stats = stage(corpus_statistics(translations), "lengths")
     ratio = length_ratios(stats)
     cols = translations.select("id", "source", "target", "model", "source_lang", "target_lang").filter("id is not null and target is not null and target <> ''")
-    return decide(map_pieces(cols, f"id long, {OPENED}", lambda c: open_rows(c, ratio, omit), ("source", "target")), stats, threshold)
+    return decide(stage(map_pieces(cols, f"id long, {OPENED}", lambda c: open_rows(c, ratio, omit), ("source", "target")), "open"), stats, threshold)
+
+
+def beginnings(words: DataFrame, wanted: DataFrame, most: int = LONG_WORD) -> DataFrame:
+    """word, w_part of each wanted word: a cut inside a word of n letters leaves each of its n - 1 beginnings with the same chance.
+    Beginnings of up to `most` letters are all counted; longer ones, which would be long chains, are found by their first
+    `most` letters, so that words of any length count."""
+    share = (F.col("a") / F.length("key")).alias("x")
+    first = F.least(F.length("key") - 1, F.lit(most))
+    short = words.filter(F.length("key") >= 2).select(F.explode(F.transform(F.sequence(F.lit(1), first), lambda i: F.substr("key", F.lit(1), i))).alias("word"), share)
+    far = words.filter(F.length("key") > most + 1).select(F.substring("key", 1, most).alias("head"), "key", share)
+    need = wanted.filter(F.length("word") > most).select("word", F.substring("word", 1, most).alias("head"))
+    long = need.join(far, "head").filter(F.startswith("key", F.col("word")) & (F.length("word") < F.length("key"))).select("word", "x")
+    return short.groupBy("word").agg(F.sum("x").alias("x")).unionByName(long).groupBy("word").agg(F.sum("x").alias("w_part"))
 
 
 def decide(opened: DataFrame, stats: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -288,10 +303,11 @@ def decide(opened: DataFrame, stats: DataFrame, threshold: float = 0.5) -> DataF
     n_words, n_ends = (whole[0] or 1.0), (whole[1] or 1.0)
     words = stats.filter("kind = 'w'")
     vocabulary = words.select(F.col("key").alias("word"), F.col("a").alias("w_n"), F.col("b").alias("w_end"))
-    # a cut inside a word of n letters leaves each of its n - 1 beginnings with the same chance
-    beginnings = words.filter(F.length("key").between(2, 40)).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("key") - 1), lambda i: F.substr("key", F.lit(1), i))).alias("word"), (F.col("a") / F.length("key")).alias("x")).groupBy("word").agg(F.sum("x").alias("w_part"))
+    # a word that many values end with is looked up once, and known by its broadcast while distinct words are few
+    last = opened.select("word").distinct()
+    facts = small_side(last.join(vocabulary, "word", "left").join(beginnings(words, last), "word", "left"))
     at_limit = F.expr("aggregate(coalesce(limits, array()), 0D, (m, x) -> greatest(m, CASE WHEN x.limit = CASE x.unit WHEN 'chars' THEN chars WHEN 'bytes' THEN bytes ELSE words END THEN x.posterior ELSE 0D END))")
-    j = opened.join(vocabulary, "word", "left").join(beginnings, "word", "left").join(by_model, "model_key", "left").withColumn("censor_posterior", at_limit)
+    j = opened.join(facts, "word", "left").join(small_side(by_model), "model_key", "left").withColumn("censor_posterior", at_limit)
     n, e, part = (F.coalesce(c, F.lit(0.0)) for c in ("w_n", "w_end", "w_part"))
     inside = (0.5 * F.greatest(n - e, F.lit(0.0)) + 0.5 * part + 0.02) / n_words
     llr_word = F.least(F.greatest(F.log(inside / ((e + 0.3) / n_ends)), F.lit(-3.0)), F.lit(6.0))
