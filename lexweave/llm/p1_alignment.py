@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +24,8 @@ from .batches import map_pieces, scan_partitions
 from .textkit import K_LANGS, SENTENCE_END, Sentences, language_of_label
 from .vectors import D, RANK, PairModel, Terms, align, clean, found_in, gram_product, identity_vectors, orthonormal, paired_terms, start_matrix, term_vectors
 
-#: The partial sums of a product are added up in so many blocks of terms.
-BLOCKS = 16
+#: The partial sums of a product are added up in so many blocks of terms, and so many at a time.
+BLOCKS, FAN = 16, 32
 
 
 def pair_rows(translations: DataFrame) -> DataFrame:
@@ -80,28 +81,38 @@ def summed_product(encoded: DataFrame, weight: np.ndarray, pair_weight: np.ndarr
                 gram_product(term, unit >> 1, unit & 1, pw[pair], w, om, out)
         import pyarrow as pa
 
+        at = TaskContext.get().partitionId()
         for b in range(BLOCKS):
             part = out[b::BLOCKS]
             used = np.flatnonzero(np.abs(part).sum(1) > 0).astype(np.int32)
             if len(used):
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([used.tobytes()], pa.binary()), pa.array([part[used].tobytes()], pa.binary())], ["block", "rows", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([used.tobytes()], pa.binary()), pa.array([part[used].tobytes()], pa.binary()), pa.array([at], pa.int32())], ["block", "rows", "sums", "part"])
+
+    coded = encoded.filter("kind = 'p'").select("term", "doc", "pair")
+    parts = coded.mapInArrow(partial, "block int, rows binary, sums binary, part int")
+    result = np.zeros((D, rank), np.float32)
+    for r in added(parts, coded.rdd.getNumPartitions(), rank).collect():  # BLOCKS rows, D x rank numbers in all
+        result[np.frombuffer(r.rows, np.int32) * BLOCKS + r.block] = np.frombuffer(r.sums, np.float32).reshape(-1, rank)
+    shared.unpersist()
+    return result
+
+
+def added(parts: DataFrame, n: int, rank: int, fan: int = FAN) -> DataFrame:
+    """One sum for each block of the partial sums of n partitions, in as many levels as it takes for no task to add up
+    more than `fan` of them: block, rows, sums, part."""
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros((D // BLOCKS, rank), np.float32)
         for r, s in zip(pdf["rows"], pdf["sums"]):
             total[np.frombuffer(r, np.int32)] += np.frombuffer(s, np.float32).reshape(-1, rank)
         used = np.flatnonzero(np.abs(total).sum(1) > 0).astype(np.int32)
-        return pd.DataFrame({"block": [key[0]], "rows": [used.tobytes()], "sums": [total[used].tobytes()]})
+        return pd.DataFrame({"block": [key[0]], "rows": [used.tobytes()], "sums": [total[used].tobytes()], "part": [key[1]]})
 
-    schema = "block int, rows binary, sums binary"
-    parts = encoded.filter("kind = 'p'").select("term", "doc", "pair").mapInArrow(partial, schema)
-    # two levels: no task adds up more than about the square root of the number of partitions
-    first = parts.groupBy("block", (F.spark_partition_id() % 32).alias("g")).applyInPandas(lambda k, p: add((k[0],), p), schema)
-    result = np.zeros((D, rank), np.float32)
-    for r in first.groupBy("block").applyInPandas(add, schema).collect():  # BLOCKS rows, D x rank numbers in all
-        result[np.frombuffer(r.rows, np.int32) * BLOCKS + r.block] = np.frombuffer(r.sums, np.float32).reshape(-1, rank)
-    shared.unpersist()
-    return result
+    while True:
+        n = -(-n // fan)
+        parts = parts.withColumn("part", F.pmod("part", F.lit(max(n, 1)))).groupBy("block", "part").applyInPandas(add, "block int, rows binary, sums binary, part int")
+        if n <= 1:
+            return parts
 
 
 def fit_pair_model(translations: DataFrame, rank: int = RANK) -> PairModel:

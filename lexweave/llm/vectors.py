@@ -175,6 +175,59 @@ def _windows(n: int, widest: int) -> np.ndarray:
     return np.array([(i, i + k) for k in range(1, widest + 1) for i in range(n - k + 1)])
 
 
+def _merits(cos: np.ndarray, size: int, widest: int, windows: np.ndarray, of: np.ndarray | None, facing: np.ndarray | None, whole: float) -> None:
+    """Zeroes in place the cosines of windows (rows: single sentences first, then wider ones) with single sentences (columns)
+    where a window is not worth more than what it is made of, or the sentence facing it is too short."""
+    before, at = cos[:size], size
+    for k in range(2, min(widest, size) + 1):
+        rows = size - k + 1
+        inner = np.maximum(before[:rows], before[1 : rows + 1])
+        now = cos[at : at + rows]
+        now[now < inner] = 0
+        before, at = np.maximum(inner, now), at + rows
+    if of is not None:
+        total = np.concatenate([[0], np.cumsum(of)])
+        cos[size:][facing[None, :] < whole * (total[windows[size:, 1]] - total[windows[size:, 0]])[:, None]] = 0
+
+
+def _top(best: np.ndarray, cos: np.ndarray) -> np.ndarray:
+    """The largest values of each row among those so far and new ones; as many as best has columns."""
+    k = best.shape[1]
+    both = np.concatenate([best, cos], 1)
+    return np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
+
+
+def _candidates(va, vb, n, m, a, b, widest, least, near, sizes, whole, step) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(source window, target window, score) of all pairs whose cosine is at least `least`, in order of the windows.
+    Windows of either side meet the single sentences of the other `step` at a time, so that beside the candidates no
+    matrix of all windows is held, however long the texts."""
+    ls, lt = sizes if sizes is not None else (None, None)
+    kt, ks = min(near, m), min(near, n)
+    top_a, top_b = np.full((len(a), kt), -np.inf, np.float32), np.full((len(b), ks), -np.inf, np.float32)
+    xs, ys, values = [], [], []
+    for j in range(0, m, step):
+        cos = va @ vb[j : min(j + step, m)].T
+        _merits(cos, n, widest, a, ls, None if lt is None else lt[j : j + step], whole)
+        top_a = _top(top_a, cos)
+        top_b[j : j + cos.shape[1]] = _top(top_b[j : j + cos.shape[1]], cos[:n].T)
+        x, y = np.nonzero(cos >= least)
+        xs.append(x.astype(np.int32)), ys.append((y + j).astype(np.int32)), values.append(cos[x, y])
+    for i in range(0, n, step):
+        cos = vb @ va[i : min(i + step, n)].T
+        _merits(cos, m, widest, b, lt, None if ls is None else ls[i : i + step], whole)
+        top_b[m:] = _top(top_b[m:], cos[m:])
+        y, x = np.nonzero(cos[m:] >= least)
+        xs.append((x + i).astype(np.int32)), ys.append((y + m).astype(np.int32)), values.append(cos[y + m, x])
+    x, y, value = np.concatenate(xs), np.concatenate(ys), np.concatenate(values)
+    order = np.argsort(x.astype(np.int64) * len(b) + y)
+    x, y, value = x[order], y[order], value[order]
+    return x, y, value - 0.25 * (top_a.mean(1)[x] + top_b.mean(1)[y])
+
+
+#: Cells of a matrix of cosines that are held at a time.
+CELLS = 4_000_000
+
+
 def align(src: np.ndarray, tgt: np.ndarray, widest: int = 3, least: float = 0.15, near: int = 3, sizes: tuple[np.ndarray, np.ndarray] | None = None, whole: float = 0.55) -> list[tuple[int, int]]:
     """Pairs (source sentence, target sentence) of matched windows.
 
@@ -194,25 +247,7 @@ def align(src: np.ndarray, tgt: np.ndarray, widest: int = 3, least: float = 0.15
     va /= np.sqrt(np.maximum(np.einsum("ij,ij->i", va, va), 1e-12))[:, None]
     vb /= np.sqrt(np.maximum(np.einsum("ij,ij->i", vb, vb), 1e-12))[:, None]
     out = []
-    cos = np.concatenate([va[:n] @ vb.T, np.zeros((len(a) - n, len(b)), np.float32)])
-    cos[n:, :m] = va[n:] @ vb[:m].T
-    for c, size in ((cos[:, :m], n), (cos[:n].T, m)):  # a window must be worth more than what it is made of
-        before, at = c[:size], size
-        for k in range(2, min(widest, size) + 1):
-            rows = size - k + 1
-            inner = np.maximum(before[:rows], before[1 : rows + 1])
-            now = c[at : at + rows]
-            now[now < inner] = 0
-            before, at = np.maximum(inner, now), at + rows
-    if sizes is not None:
-        ls, lt = (np.concatenate([[0], np.cumsum(x)]) for x in sizes)
-        cos[n:, :m][sizes[1][None, :] < whole * (ls[a[n:, 1]] - ls[a[n:, 0]])[:, None]] = 0
-        cos[:n, m:][sizes[0][:, None] < whole * (lt[b[m:, 1]] - lt[b[m:, 0]])[None, :]] = 0
-    kt, ks = min(near, m), min(near, n)
-    base_a = np.partition(cos[:, :m], m - kt, axis=1)[:, m - kt :].mean(1)
-    base_b = np.partition(cos[:n], n - ks, axis=0)[n - ks :].mean(0)
-    x, y = np.nonzero(cos >= least)
-    score = cos[x, y] - 0.25 * (base_a[x] + base_b[y])
+    x, y, score = _candidates(va, vb, n, m, a, b, widest, least, near, sizes, whole, max(1, CELLS // (len(a) + len(b))))
     order = np.argsort(-score, kind="stable")
     free_s, free_t, left = [True] * n, [True] * m, min(n, m)
     for (i0, i1), (j0, j1) in zip(a[x[order]].tolist(), b[y[order]].tolist()):
