@@ -17,6 +17,7 @@ import random
 from collections import defaultdict
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,7 +86,8 @@ def draw(texts: DataFrame, shares: dict[str, dict], seed: int = 17) -> DataFrame
     uses = {s: v["uses"] for s, v in shares.items()}
 
     def start() -> dict:
-        return {"rng": random.Random(seed), "rest": defaultdict(list)}
+        at = TaskContext.get()  # partitions must not draw alike, and each the same when it runs again
+        return {"rng": random.Random(seed * 1_000_003 + (at.partitionId() if at else 0)), "rest": defaultdict(list)}
 
     def rows_of(done: list[tuple], source: str) -> list[tuple]:
         base = int(uses[source] + 1e-9)
@@ -164,14 +166,16 @@ def p8_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each source: target share, target scaled to the sources that have texts, share reached, and uses."""
+    """For each source: target share, target scaled to the sources that have texts, share reached, uses, and the tokens
+    by which the draw still misses what was wanted."""
     drawn, shares = _drawn(spark, sf_dir)
     got = drawn.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("tokens"), F.sum("uses").alias("documents"), F.max("uses").alias("most_uses"))
-    want = spark.createDataFrame([(s, v["target"], v["scaled"], v["cap"]) for s, v in shares.items()], "source string, target_share double, scaled_share double, max_repeats int")
-    total = got.agg(F.sum("tokens").alias("total"))
-    j = want.join(got, "source", "left").withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one")
+    want = spark.createDataFrame([(s, v["target"], v["scaled"], v["cap"], float(v["wanted"])) for s, v in shares.items()], "source string, target_share double, scaled_share double, max_repeats int, wanted double")
+    got = stage(got, "shares")  # one row a source
+    total = got.agg(F.sum("tokens")).first()[0] or 0
+    j = want.join(got, "source", "left")
     zero = F.lit(0).cast("long")
-    return j.select("source", "target_share", "scaled_share", "max_repeats", F.coalesce("tokens", zero).alias("tokens"), F.coalesce("documents", zero).alias("documents"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), (F.coalesce("tokens", zero) / F.greatest("total", F.lit(1))).alias("actual_share"))
+    return j.select("source", "target_share", "scaled_share", "max_repeats", F.coalesce("tokens", zero).alias("tokens"), F.coalesce("documents", zero).alias("documents"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), (F.coalesce("tokens", zero) / F.lit(max(total, 1))).alias("actual_share"), (F.coalesce("tokens", zero) - F.col("wanted")).alias("residual_tokens"))
 
 
 QUERIES = {"p8_collection": p8_collection, "p8_shares": p8_shares}
