@@ -120,6 +120,35 @@ def test_alignment_kernel():
     assert vectors.align(base[:0], tgt) == [] and vectors.align(base, tgt[:0]) == []
 
 
+def test_alignment_in_pieces(monkeypatch):
+    """Long texts are compared piece by piece with the same result."""
+    rng = np.random.default_rng(7)
+    src = rng.standard_normal((90, 24)).astype(np.float32)
+    tgt = np.concatenate([src[rng.permutation(90)[:70]] + 0.4 * rng.standard_normal((70, 24)), src[10:40] + src[11:41]]).astype(np.float32)
+    sizes = rng.integers(3, 12, 90), rng.integers(3, 20, 100)
+    whole = vectors.align(src, tgt, sizes=sizes)
+    monkeypatch.setattr(vectors, "CELLS", 7 * 600)
+    assert len(whole) > 60 and vectors.align(src, tgt, sizes=sizes) == whole
+
+
+def test_sums_in_levels(spark):
+    """Two thousand partial sums, at most eight in a task."""
+    rng = np.random.default_rng(8)
+    rank, n = 2, 2_000
+    rows, want = [], np.zeros((vectors.D // p1_alignment.BLOCKS, rank), np.float32)
+    for i in range(n):
+        used = np.unique(rng.integers(0, 50, 3)).astype(np.int32)
+        x = rng.integers(0, 9, (len(used), rank)).astype(np.float32)
+        want[used] += x
+        rows.append((1, used.tobytes(), x.tobytes(), i))
+    parts = spark.createDataFrame(rows, "block int, rows binary, sums binary, part int")
+    got = p1_alignment.added(parts, n, rank, fan=8).collect()
+    total = np.zeros_like(want)
+    assert len(got) == 1
+    total[np.frombuffer(got[0].rows, np.int32)] = np.frombuffer(got[0].sums, np.float32).reshape(-1, rank)
+    assert np.array_equal(total, want)
+
+
 def test_gram_product_is_exact():
     rng = np.random.default_rng(2)
     n, t = 300, 3000
@@ -227,6 +256,22 @@ def test_truncation(spark):
     assert len(found & want) >= 0.97 * len(want) and found - want <= {1000, 1003} and {1000, 1003} <= found
 
 
+def test_beginnings_of_long_words(spark):
+    """Against a plain count, with listed beginnings of up to five letters."""
+    words = {"ab": 4.0, "abcdefgh": 16.0, "abcdexyz": 8.0, "abcdefghijk": 11.0, "z": 3.0}
+    wanted = ["a", "abcde", "abcdefg", "abcdefgh", "abcdex", "abcdefghijk", "q", "z"]
+    got = {r.word: r.w_part for r in p3_truncation.beginnings(spark.createDataFrame(list(words.items()), "key string, a double"), spark.createDataFrame([(w,) for w in wanted], "word string"), 5).filter(F.col("word").isin(wanted)).collect()}
+    want = {w: sum(n / len(k) for k, n in words.items() if k.startswith(w) and len(k) > len(w)) for w in wanted}
+    assert got == {w: pytest.approx(x) for w, x in want.items() if x}
+
+
+def test_long_single_sentences_teach_ratios():
+    s, t = "word " * 120 + "end.", "mot " * 130 + "fin."
+    st = p3_truncation.new_statistics()
+    p3_truncation.add_statistics(st, {"target": [t], "source": [s], "model": ["m"], "source_lang": ["English"], "target_lang": ["French"]})
+    assert [x[0] for x in st["r"].values()] == [1]
+
+
 # --- 4
 def test_survivors(spark):
     models = spark.createDataFrame([("a", "p", 1, NOW), ("b", "p", 2, NOW)], "model string, provider string, trust int, released timestamp_ntz")
@@ -238,25 +283,40 @@ def test_survivors(spark):
 
 # --- 5
 @pytest.mark.parametrize(("value", "form"), [
-    ("thе cat", "the cat"), ("ｃａｔ", "cat"), ("été", "été"), ("a​b", "ab"), ("a b", "a b"), ("ﬁsh", "fish"), ("hoţ", "hoț"),
+    ("thе cat", "the cat"), ("ｃａｔ", "cat"), ("été", "été"), ("a​b", "ab"), ("a b", "a b"), ("ﬁsh", "fish"), ("hoţ", "hoț"),
     ("Глaва", "Глава"), ("“мост” here", "“мост” here"), ("plain — “text”…", "plain — “text”…"), ("a\nb", "a\nb"),
-    ("кольц</p", "кольц</p"), ("Lοng", "Long"),
+    ("кольц</p", "кольц</p"), ("Lοng", "Long"), ("λόγoς", "λόγος"),
 ])
 def test_consistent_form(value, form):
-    assert p5_lookalike.consistent_form(value) == form
-    assert p5_lookalike.consistent_form(form) == form
+    known = {"the", "глава", "long", "λόγος"}
+    assert p5_lookalike.consistent_form(value, known) == form
+    assert p5_lookalike.consistent_form(form, known) == form
+    assert p5_lookalike.consistent_form(value, certain=True) == form
     assert unicodedata.is_normalized("NFC", form)
 
 
-@pytest.mark.parametrize("value", ["300 \u212a", "5 \u212b", "7 \u2126"])
-def test_lookalike_not_normal(value):
-    assert p5_lookalike.plain_form(value) != value and p5_lookalike.suspect(value)
+def test_lookalike_not_normal():
+    for value in ("300 \u212a", "5 \u212b", "7 \u2126"):
+        assert p5_lookalike.plain_form(value) != value and p5_lookalike.suspect(value)
 
 
 def test_repairs(spark):
-    rows = [row(1, "thе cat", "le chat"), row(2, "they асе it", "x"), row(3, "an ace of it", "y"), row(4, "​", "​1"), row(5, "cаt", "z", chapter=0, paragraph=2), row(6, "they соо it", "x")]
-    got = {(r.id, r.field): r.form for r in p5_lookalike.repairs(memory(spark, rows)).collect()}
-    assert got == {(1, "source"): "the cat", (2, "source"): "they ace it"}  # 6 would be coo, which the corpus lacks
+    rows = [row(1, "thе cat", "le chat"), row(2, "they асе it", "x"), row(3, "an ace of it", "y"), row(4, "​", "​1"), row(5, "cаt", "z", chapter=0, paragraph=2), row(6, "they соо it", "x"), row(7, "the ace cat", "a rаre nаme"),
+            row(8, "the old cat", "once"), row(9, "оnce", "х")]
+    t = memory(spark, rows)
+    forms = lambda **kw: {(r.id, r.field): r.form for r in p5_lookalike.repairs(t, **kw).collect()}
+    method = {(1, "source"): "the cat", (5, "source"): "cat"}
+    assert forms() == method  # 9 would be once, which the corpus has only once
+    assert forms(certain=True) == {**method, (7, "target"): "a rare name", (9, "source"): "once"}
+    assert forms(whole=True) == {**method, (2, "source"): "they ace it"}  # 6 would be coo, which the corpus lacks
+    assert forms(least=1) == {**method, (9, "source"): "once"}
+
+
+def test_consistent_metadata(spark, tmp_path):
+    """Metadata are repaired with the rest, though they are no cases."""
+    memory(spark, [row(1, "cаt", "cat", chapter=0, paragraph=2), row(2, "a cat", "cat"), row(3, "cаt", None)]).write.parquet(f"{tmp_path}/translations.parquet")
+    assert {(r.id, r.field): r.value for r in p5_lookalike.p5_consistent(spark, str(tmp_path)).collect()} == {(1, "source"): "cat", (1, "target"): "cat", (2, "source"): "a cat", (2, "target"): "cat", (3, "source"): "cat", (3, "target"): None}
+    assert [r.id for r in p5_lookalike.p5_found(spark, str(tmp_path)).collect()] == [3]
 
 
 # --- 6
@@ -409,6 +469,15 @@ def test_flight_keeps_totals():
         assert abs(sum(f(t) * d for _, t, d in done) + sum(f(t) * p for _, t, p in rest) - 0.37 * sum(f(t) for _, t, _ in items)) < 1e-4
 
 
+def test_partitions_draw_apart(spark):
+    """Partitions of equal lengths do not choose the same places."""
+    df = spark.createDataFrame([(p * 100 + i, "a", 10 + i % 7) for p in range(4) for i in range(100)], "doc_id long, source string, tokens long").repartitionByRange(4, "doc_id")
+    shares = {"a": {"uses": 0.5, "wanted": 0.5 * sum(10 + i % 7 for i in range(100)) * 4, "cap": 1}}
+    rows = p8_mixing.draw(df, shares).collect()
+    places = [{r.doc_id % 100 for r in rows if r.doc_id // 100 == p} for p in range(4)]
+    assert len({frozenset(p) for p in places}) == 4 and 190 <= len(rows) <= 210
+
+
 def test_mixing(spark):
     rng = random.Random(12)
     texts = [(i, " ".join(rng.choice(["red", "blue", "old"]) for _ in range(rng.randint(5, 60))) + f" {i}", "abc"[i % 3]) for i in range(600)]
