@@ -197,9 +197,9 @@ def _top(best: np.ndarray, cos: np.ndarray) -> np.ndarray:
     return np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
 
 
-def _candidates(va, vb, n, m, a, b, widest, least, near, sizes, whole, step) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(source window, target window, score) of all pairs whose cosine is at least `least`, in order of the windows.
-    Windows of either side meet the single sentences of the other `step` at a time, so that beside the candidates no
+def _pieces(va, vb, n, m, a, b, widest, least, near, sizes, whole, step) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(source window, target window, score) of all pairs whose cosine is at least `least`, in order of the windows, as
+    from one matrix of all windows. Windows of either side meet the single sentences of the other `step` at a time, so that beside the candidates no
     matrix of all windows is held, however long the texts."""
     ls, lt = sizes if sizes is not None else (None, None)
     kt, ks = min(near, m), min(near, n)
@@ -247,7 +247,19 @@ def align(src: np.ndarray, tgt: np.ndarray, widest: int = 3, least: float = 0.15
     va /= np.sqrt(np.maximum(np.einsum("ij,ij->i", va, va), 1e-12))[:, None]
     vb /= np.sqrt(np.maximum(np.einsum("ij,ij->i", vb, vb), 1e-12))[:, None]
     out = []
-    x, y, score = _candidates(va, vb, n, m, a, b, widest, least, near, sizes, whole, max(1, CELLS // (len(a) + len(b))))
+    if len(a) * len(b) <= CELLS:  # the usual text: one matrix of all windows
+        ls, lt = sizes if sizes is not None else (None, None)
+        cos = np.concatenate([va[:n] @ vb.T, np.zeros((len(a) - n, len(b)), np.float32)])
+        cos[n:, :m] = va[n:] @ vb[:m].T
+        _merits(cos[:, :m], n, widest, a, ls, lt, whole)
+        _merits(cos[:n].T, m, widest, b, lt, ls, whole)
+        kt, ks = min(near, m), min(near, n)
+        base_a = np.partition(cos[:, :m], m - kt, axis=1)[:, m - kt :].mean(1)
+        base_b = np.partition(cos[:n], n - ks, axis=0)[n - ks :].mean(0)
+        x, y = np.nonzero(cos >= least)
+        score = cos[x, y] - 0.25 * (base_a[x] + base_b[y])
+    else:
+        x, y, score = _pieces(va, vb, n, m, a, b, widest, least, near, sizes, whole, max(1, CELLS // (len(a) + len(b))))
     order = np.argsort(-score, kind="stable")
     free_s, free_t, left = [True] * n, [True] * m, min(n, m)
     for (i0, i1), (j0, j1) in zip(a[x[order]].tolist(), b[y[order]].tolist()):
