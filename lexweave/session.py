@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -12,23 +13,51 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is configured (tests)."""
+    """The shared folder of the cluster. Where none is configured a local master (tests) has a temporary one, and any other
+    is an error, since executors would not see each other's files."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir is not set; name a folder that all executors share")
     path = os.path.join(tempfile.gettempdir(), "lexweave-checkpoints")
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def stage_dir(spark: SparkSession) -> str:
+    """This application's own folder within the shared one; it is deleted when the driver ends."""
+    sc = spark.sparkContext
+    path = f"{checkpoint_dir(spark).rstrip('/')}/lexweave-{sc.applicationId}"
+    if not getattr(sc, "_lexweave_clears", False):
+        sc._lexweave_clears = True
+        atexit.register(_clear_at_exit, spark)
+    return path
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Deletes what `stage` wrote in this application; DataFrames made from it can't be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stage_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _clear_at_exit(spark: SparkSession) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            clear_stages(spark)
+    except Exception:  # noqa: BLE001 - the JVM may be gone; the folder's owner cleans up then
+        pass
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df as a table into the shared folder and read it back: its lineage ends there, its columns stay
     prunable, and every executor can read it again after a loss."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}.parquet"
+    path = f"{stage_dir(spark)}/{name.replace(' ', '-')}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
