@@ -10,6 +10,8 @@ from ..session import small_side, stage
 from .store import is_filled
 
 SIZE, PREFILL, WORD_LIMIT = 5, 3, 512
+#: Paragraphs of a stretch whose rows one task puts in order, and numbers of a block in which values come together.
+SPAN, BLOCK = 256, 1000
 
 
 #: What a context holds of each pair.
@@ -36,13 +38,37 @@ def chapter_rank(rows: DataFrame) -> DataFrame:
     return rows.join(g.withColumn("chapter_rank", F.row_number().over(w)).drop("_n"), ["book", "edition", "chapter"])
 
 
+def numbered(ranked: DataFrame, weight: Column, name: str = "_n") -> DataFrame:
+    """How much weight stands before each row of its book and edition, in the order of chapter_rank, paragraph and id.
+    Sums run within stretches of SPAN paragraphs and over the table of stretches, so that no task has a whole book."""
+    at = ["book", "edition", "chapter_rank", "_stretch"]
+    r = ranked.withColumn("_stretch", F.floor(F.col("paragraph") / SPAN)).withColumn("_w", weight)
+    sums = r.groupBy(*at).agg(F.sum("_w").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy("book", "edition").orderBy("chapter_rank", "_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*[F.col(k).alias(f"r{k}") for k in at], before.alias("_before"))
+    same = [r[k].eqNullSafe(sums[f"r{k}"]) for k in at]
+    j = r.join(sums, same[0] & same[1] & same[2] & same[3])
+    own = F.coalesce(F.sum("_w").over(Window.partitionBy(*at).orderBy("paragraph", "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return j.withColumn(name, F.col("_before") + own).drop("_stretch", "_w", "_before", *[f"r{k}" for k in at])
+
+
+def rolling(ranked: DataFrame, value: Column, size: int = SIZE) -> DataFrame:
+    """Rows with `context`: the value of up to `size` rows before each in its book and edition, oldest first. Values move
+    once, into blocks of BLOCK numbers; the last rows of a block go along to the next."""
+    n = numbered(ranked, F.lit(1), "_n").withColumn("_value", value)
+    block = F.floor(F.col("_n") / BLOCK)
+    ahead = F.col("_n") % BLOCK >= BLOCK - size
+    n = n.withColumn("_block", F.explode(F.when(ahead, F.array(block, block + 1)).otherwise(F.array(block))))
+    w = Window.partitionBy("book", "edition", "_block").orderBy("_n").rowsBetween(-size, -1)
+    return n.withColumn("context", F.collect_list("_value").over(w)).filter(F.col("_block") == block).drop("_n", "_block", "_value")
+
+
 def rolling_pairs(rows: DataFrame, size: int = SIZE) -> DataFrame:
     """Filled, admissible rows with the `size` pairs before them in their book and edition, oldest first, each with its
     number of words. The context flows across chapters in translation order, as in one run over the book."""
     kept = chapter_rank(rows.filter(is_filled(F.col("target")))).filter(admissible(F.col("source"), F.col("target")))
     kept = kept.withColumn("words", pair_words(F.col("source"), F.col("target")))
-    w = Window.partitionBy("book", "edition").orderBy("chapter_rank", "paragraph", "id").rowsBetween(-size, -1)
-    return kept.withColumn("context", F.collect_list(F.struct(*PAIR)).over(w)).drop("words")
+    return rolling(kept, F.struct(*PAIR), size).drop("words")
 
 
 def within_budget(context: Column, limit: int = WORD_LIMIT) -> Column:
@@ -57,13 +83,12 @@ def within_budget(context: Column, limit: int = WORD_LIMIT) -> Column:
 
 
 def context_of(rows: DataFrame, wanted: DataFrame, size: int = SIZE) -> DataFrame:
-    """The context of wanted rows (ids of rows) from the pairs before them: id, context. Only places and flags pass
-    through the window over a book; texts travel by an equi-join on their number, and only those that are needed."""
+    """The context of wanted rows (ids of rows) from the pairs before them: id, context. Texts travel by an equi-join on
+    their running number, and only those that are needed."""
     rows = rows.select("id", "book", "edition", "chapter", "paragraph", "source", "target")
     ok = is_filled(F.col("target")) & admissible(F.col("source"), F.col("target"))
     ranked = chapter_rank(rows.withColumn("_ok", F.coalesce(ok, F.lit(False)).cast("int")))
-    w = Window.partitionBy("book", "edition").orderBy("chapter_rank", "paragraph", "id").rowsBetween(Window.unboundedPreceding, -1)
-    keys = ranked.select("id", "book", "edition", "chapter_rank", "paragraph", "_ok").withColumn("_n", F.coalesce(F.sum("_ok").over(w), F.lit(0)))
+    keys = stage(numbered(ranked.select("id", "book", "edition", "chapter_rank", "paragraph", "_ok"), F.col("_ok")), "places")
     need = keys.join(wanted.select("id"), "id", "left_semi").filter("_n > 0").select(F.col("id").alias("_for"), "book", "edition", F.explode(F.sequence(F.greatest(F.col("_n") - (size - 1), F.lit(1)), F.col("_n"))).alias("_i"))
     places = stage(need.join(keys.filter("_ok = 1").select("id", "book", "edition", (F.col("_n") + 1).alias("_i")), ["book", "edition", "_i"]).select("_for", "_i", "id"), "context")
     texts = rows.filter(ok).select("id", "source", "target").join(small_side(places.select("id").distinct()), "id", "left_semi")

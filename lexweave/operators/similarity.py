@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import pieces, word_set
+from ..session import stage
 
 
 def similar_pairs(sets: DataFrame, group: str, threshold: float = 0.8) -> DataFrame:
@@ -18,14 +19,16 @@ def similar_pairs(sets: DataFrame, group: str, threshold: float = 0.8) -> DataFr
     numbered = sets.filter(F.size("words") > 0).withColumn("key", F.xxhash64(F.array_join(F.array_sort("words"), "\0")))
     freq = numbered.select(group, F.explode("words").alias("w")).groupBy(group, "w").agg(F.count("*").alias("f"))
     ranked = numbered.select(group, "key", "n", F.size("words").alias("size"), F.explode("words").alias("w")).join(freq, [group, "w"])
-    ordered = ranked.groupBy(group, "key", "n", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "w"))), lambda x: x["w"]).alias("words"))
+    ordered = stage(ranked.groupBy(group, "key", "n", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "w"))), lambda x: x["w"]).alias("words")), "sets")
     prefix = F.slice("words", F.lit(1), F.col("size") - F.ceil(F.col("size") * threshold).cast("int") + 1)
-    p = ordered.select(group, "key", "n", "size", "words", F.explode(prefix).alias("w"))
-    a = p.select(group, "w", F.col("key").alias("ka"), F.col("n").alias("n_a"), F.col("size").alias("sa"), F.col("words").alias("wa"))
-    b = p.select(group, "w", F.col("key").alias("kb"), F.col("n").alias("n_b"), F.col("size").alias("sb"), F.col("words").alias("wb"))
-    near = a.join(b, [group, "w"]).filter("ka < kb").filter(F.least("sa", "sb") > threshold * F.greatest("sa", "sb"))
+    p = ordered.select(group, "key", "size", F.explode(prefix).alias("w"))
+    a, b = (p.select(group, "w", F.col("key").alias(f"k{x}"), F.col("size").alias(f"s{x}")) for x in "ab")
+    # only keys meet; the words of a candidate are fetched once it is known to be one
+    near = a.join(b, [group, "w"]).filter("ka < kb").filter(F.least("sa", "sb") > threshold * F.greatest("sa", "sb")).select(group, "ka", "kb").distinct()
+    wa, wb = (ordered.select(group, F.col("key").alias(f"k{x}"), F.col("n").alias(f"n_{x}"), F.col("words").alias(f"w{x}")) for x in "ab")
     both = F.size(F.array_intersect("wa", "wb"))
-    return near.dropDuplicates([group, "ka", "kb"]).filter(both > threshold * (F.col("sa") + F.col("sb") - both)).select(group, "n_a", "n_b")
+    found = near.join(wa, [group, "ka"]).join(wb, [group, "kb"])
+    return found.filter(both > threshold * (F.size("wa") + F.size("wb") - both)).select(group, "n_a", "n_b")
 
 
 def repeated_count(sets: DataFrame, group: str, threshold: float = 0.8) -> DataFrame:
