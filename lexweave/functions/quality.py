@@ -57,6 +57,11 @@ def too_short(source: Column, target: Column, least: int = 50) -> Column:
     return (word_count(source) > least) & (word_count(target) < word_count(source) * 0.3)
 
 
+def too_long(source: Column, least: int = 1000) -> Column:
+    """The text has so many words that it is not sent to a model."""
+    return word_count(source) >= least
+
+
 def bleeding(source: Column, target: Column, context: Column) -> Column:
     """The target is far too short, or it repeats a target of the context whose source is another."""
 

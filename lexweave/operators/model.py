@@ -26,7 +26,8 @@ PROVIDERS = {
     "deepseek": ("https://api.deepseek.com/v1", "deepseek-chat", "DEEPSEEK_API_KEY"),
     "together": ("https://api.together.xyz/v1", "openai/gpt-oss-20b", "TOGETHER_API_KEY"),
     "openrouter": ("https://openrouter.ai/api/v1", "openai/gpt-4o", "OPENROUTER_API_KEY"),
-    "local": ("http://localhost:11434/v1", "gemma3n:e4b", ""),
+    "ollama": ("http://localhost:11434/v1", "gemma3n:e4b", ""),
+    "lmstudio": ("http://localhost:1234/v1", "qwen2.5-72b", ""),
 }
 
 
@@ -127,6 +128,23 @@ class Caller:
         return best
 
 
+def exchange(r, pairs: list[tuple[str, str]], system: str) -> list[dict]:
+    """Messages of a request: system prompt, similar example if the row has one, pairs, and the text itself."""
+    s_tag, t_tag = (r.source_lang or "").lower(), (r.target_lang or "").lower()
+    m = [{"role": "system", "content": system.format(source_lang=r.source_lang, target_lang=r.target_lang)}]
+    similar = [(r.example["source"], r.example["target"])] if r.example is not None else []
+    for s, t in [*similar, *pairs]:
+        m += [{"role": "user", "content": f"<{s_tag}>{s}</{s_tag}>"}, {"role": "assistant", "content": f"<{t_tag}>{t}</{t_tag}>"}]
+    return [*m, {"role": "user", "content": f"<{s_tag}>{r.clean}</{s_tag}>"}]
+
+
+def answer(caller: Caller, r, pairs: list[tuple[str, str]], system: str) -> tuple[str, str, int]:
+    """Reply to the clean text, reply with its marks put back, and milliseconds; a text of marks only is not sent."""
+    began = time.monotonic()
+    text = caller.translate(r.clean, lambda p: exchange(r, p, system), pairs, (r.target_lang or "").lower()) if r.clean else ""
+    return text, f"{r.prefix}{text}{r.suffix}" if text or not r.clean else "", int((time.monotonic() - began) * 1000)
+
+
 def model_text(rows: DataFrame, client_factory: Callable[[], object], system: str, kind: str = "translate", model: str = "stub", min_interval: float = 0.0, parallel: int | None = None) -> DataFrame:
     """rows: source, source_lang, target_lang, context (array of struct source, target), example (struct source, target;
     may be lacking), any others. The example stands before the context and stays when that is cut. Adds reply and duration (ms). Equal requests are sent once: they are collapsed first and joined back.
@@ -147,24 +165,60 @@ def model_text(rows: DataFrame, client_factory: Callable[[], object], system: st
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                s_tag, t_tag = (r.source_lang or "").lower(), (r.target_lang or "").lower()
                 context = [(c["source"], c["target"]) for c in (r.context if r.context is not None else [])]
-
-                def messages(pairs: list, r=r, s_tag=s_tag, t_tag=t_tag) -> list[dict]:
-                    m = [{"role": "system", "content": system.format(source_lang=r.source_lang, target_lang=r.target_lang)}]
-                    similar = [(r.example["source"], r.example["target"])] if r.example is not None else []
-                    for s, t in [*similar, *pairs]:
-                        m += [{"role": "user", "content": f"<{s_tag}>{s}</{s_tag}>"}, {"role": "assistant", "content": f"<{t_tag}>{t}</{t_tag}>"}]
-                    return [*m, {"role": "user", "content": f"<{s_tag}>{r.clean}</{s_tag}>"}]
-
-                began = time.monotonic()
-                text = caller.translate(r.clean, messages, context, t_tag) if r.clean else ""
-                out.append((r[0], f"{r.prefix}{text}{r.suffix}" if text or not r.clean else "", int((time.monotonic() - began) * 1000)))
+                _, text, took = answer(caller, r, context, system)
+                out.append((r[0], text, took))
             yield pd.DataFrame(out, columns=["_req", "reply", "duration"])
 
     return keyed.join(unique.mapInPandas(run, "_req string, reply string, duration int"), "_req").drop("_req")
 
 
+def fits(pairs: list[tuple[str, str]], limit: int) -> list[tuple[str, str]]:
+    """As context.within_budget, for one list."""
+    used, n = 0, len(pairs)
+    for s, t in reversed(pairs):
+        used += len(s.split()) + len(t.split())
+        if used > limit:
+            break
+        n -= 1
+    return pairs[n:]
+
+
+def admissible(source: str, target: str) -> bool:
+    """As context.admissible, for one pair."""
+    n = len(source.split())
+    return bool(n and target.split()) and (n <= 5 or similarity(source, target) <= 0.95)
+
+
+def model_text_in_order(rows: DataFrame, group: list[str], order: list[str], client_factory: Callable[[], object], system: str, model: str = "stub", min_interval: float = 0.0, size: int = 5, limit: int = 512) -> DataFrame:
+    """Replies of one run over each group in order, each request with the pairs before it, stored ones and this run's own
+    replies alike: id, reply, duration. rows: id, group and order columns, source_lang, target_lang, source, target,
+    example, ask (whether the row is to be asked for; the others only give context). A group is one task by nature, as a
+    reply needs those before it; its rows stream through and only `size` pairs are kept. A task that runs again asks again."""
+    ship_package(rows.sparkSession)
+    marks = rows.withColumn("_m", strip_markdown(F.col("source"))).select(*dict.fromkeys(["id", *group, *order, "source_lang", "target_lang", "target", "example", "ask"]), "_m.*")
+    ordered = marks.repartition(*group).sortWithinPartitions(*group, *order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        caller = Caller(client_factory(), model, "translate", min_interval)
+        last, pairs = None, []
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                now = tuple(None if pd.isna(x) else x for x in (getattr(r, g) for g in group))
+                if now != last:
+                    last, pairs = now, []
+                target = r.target or ""
+                if r.ask:
+                    target, text, took = answer(caller, r, fits(pairs, limit), system)
+                    out.append((r.id, text, took))
+                if target and admissible(r.clean, target):
+                    pairs = [*pairs, (r.clean, target)][-size:]
+            yield pd.DataFrame(out, columns=["id", "reply", "duration"])
+
+    return ordered.mapInPandas(run, "id long, reply string, duration int")
+
+
 def better_of(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     """Where a first reply scored too low and was asked again, the second if it scores strictly higher."""
     b = second.select(*keys, F.col("reply").alias("_r"), F.col("adequacy").alias("_a"))

@@ -155,14 +155,14 @@ def tm_search(spark, d):
     return store.top_hit(store.search(tm(spark, d), "silver lantern"), ["book", "target_lang"])
 
 
-Q_OLDNEW = "old AS (SELECT * FROM translations WHERE edition = 1), fresh AS (SELECT * FROM translations WHERE edition <> 1 OR id % 2 = 0)"
+Q_OLDNEW = "old AS (SELECT * FROM translations WHERE edition = 1), fresh AS (SELECT * FROM translations)"
 Q_SAME = " AND ".join(f"o.{k} IS NOT DISTINCT FROM n.{k}" for k in store.KEY)
 Q_LAST = f"last AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY {Q_KEY} ORDER BY id DESC) AS rn FROM fresh) WHERE rn = 1)"
 
 
 def _old_new(spark, d):
     t = tm(spark, d)
-    return t.filter("edition = 1"), t.filter("edition <> 1 OR id % 2 = 0")
+    return t.filter("edition = 1"), t
 
 
 @query(f"""WITH {Q_OLDNEW}, first AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY {Q_KEY} ORDER BY id) AS rn FROM fresh) WHERE rn = 1)
@@ -259,12 +259,11 @@ def context_budget(spark, d):
 SELECT id, (sw > 50 AND tw < sw * 0.3) OR coalesce(len(list_filter(c, lambda p: {q_jaccard(Q_SET('target'), 'p.t')} > 0.8 AND {q_jaccard(Q_SET('source'), 'p.s')} < 0.3)), 0) > 0 AS bleeding,
   trunc(coalesce(list_max(list_transform(c, lambda p: {q_jaccard(Q_SET('target'), 'p.t')})), 0.0) * 1000)::INT AS nearest FROM x""")
 def tm_bleeding(spark, d):
-    """Word sets are built once a row, before the window collects them."""
+    """Word sets are built once a row, before they are collected."""
     t = tm(spark, d).filter(store.is_filled(F.col("target")))
     kept = context.chapter_rank(t).filter(context.admissible(F.col("source"), F.col("target")))
     kept = kept.select("id", "book", "edition", "chapter_rank", "paragraph", text.word_set(F.col("source")).alias("s"), text.word_set(F.col("target")).alias("t"), quality.too_short(F.col("source"), F.col("target")).alias("short"))
-    w = Window.partitionBy("book", "edition").orderBy("chapter_rank", "paragraph", "id").rowsBetween(-context.SIZE, -1)
-    r = kept.withColumn("c", F.collect_list(F.struct("s", "t")).over(w))
+    r = context.rolling(kept, F.struct("s", "t")).withColumnRenamed("context", "c")
     hit = F.exists("c", lambda p: (text.set_jaccard(F.col("t"), p["t"]) > 0.8) & (text.set_jaccard(F.col("s"), p["s"]) < 0.3))
     near = F.array_max(F.transform("c", lambda p: text.set_jaccard(F.col("t"), p["t"])))
     return r.select("id", (F.col("short") | hit).alias("bleeding"), (F.coalesce(near, F.lit(0.0)) * 1000).cast("int").alias("nearest"))
@@ -285,6 +284,11 @@ def doc_fluency(spark, d):
     return documents(spark, d).filter("text IS NOT NULL").select("doc_id", quality.fluency(F.col("text")).alias("fluency"))
 
 
+@query(f"SELECT id, len({q_words('source')}) >= 1000 AS too_long FROM translations WHERE source IS NOT NULL")
+def tm_too_long(spark, d):
+    return tm(spark, d).filter("source IS NOT NULL").select("id", quality.too_long(F.col("source")).alias("too_long"))
+
+
 @query(f"SELECT id, {q_adequacy('source', 'target')} AS adequacy FROM translations WHERE source IS NOT NULL AND target IS NOT NULL")
 def tm_adequacy(spark, d):
     return tm(spark, d).filter("source IS NOT NULL AND target IS NOT NULL").select("id", quality.adequacy(F.col("source"), F.col("target")).alias("adequacy"))
@@ -319,6 +323,15 @@ def doc_repeated_phrases(spark, d):
     return similarity.repeated_count(similarity.sentence_sets(documents(spark, d), "doc_id", "text"), "doc_id")
 
 
+@query(f"""WITH s AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda p: {q_strip('p')}), lambda p: p <> '')) AS s FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, list_sort({Q_SET('s')}) AS w, count(*) AS n FROM s GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w) AS i, len(w) AS z FROM w)
+SELECT a.doc_id, count(*) AS links, sum(a.n * b.n)::BIGINT AS pairs FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.i < b.i AND least(a.z, b.z) > 0.8 * greatest(a.z, b.z) AND {q_jaccard('a.w', 'b.w')} > 0.8 GROUP BY 1""")
+def doc_similarity_pairs(spark, d):
+    """Different sentences of a document that are nearly alike: links between distinct ones, and pairs with their copies."""
+    pairs = similarity.similar_pairs(similarity.sentence_sets(documents(spark, d), "doc_id", "text"), "doc_id")
+    return pairs.groupBy("doc_id").agg(F.count("*").alias("links"), F.sum(F.col("n_a") * F.col("n_b")).cast("long").alias("pairs"))
+
+
 @query("""SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM (
   SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS term FROM documents WHERE text IS NOT NULL) GROUP BY term""")
 def doc_terms(spark, d):
@@ -347,17 +360,17 @@ def quality_report_book(spark, d):
     return pipeline.book_report(tm(spark, d))
 
 
-@query(f"""WITH {Q_READ}, t AS (SELECT book, edition, chapter, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY paragraph, id) FILTER (paragraph > 0), '') AS x FROM readout WHERE text <> '' GROUP BY ALL),
-s AS (SELECT book, edition, chapter, unnest(list_filter(list_transform(regexp_split_to_array(x, '[.!?]+'), lambda p: {q_strip('p')}), lambda p: p <> '')) AS s FROM t),
-w AS (SELECT book, edition, chapter, list_sort({Q_SET('s')}) AS w, count(*) AS n FROM s GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY book, edition, chapter ORDER BY w) AS i, len(w) AS z FROM w),
-p AS (SELECT book, edition, chapter, sum(n * (n - 1) // 2) AS c FROM k GROUP BY ALL UNION ALL SELECT a.book, a.edition, a.chapter, sum(a.n * b.n) FROM k a JOIN k b ON a.book = b.book AND a.edition = b.edition AND a.chapter = b.chapter
+@query(f"""WITH {Q_READ}, t AS (SELECT {Q_CHAPTER}, row_number() OVER () AS g, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY paragraph, id) FILTER (paragraph > 0), '') AS x FROM readout WHERE text <> '' GROUP BY {Q_CHAPTER}),
+s AS (SELECT g, unnest(list_filter(list_transform(regexp_split_to_array(x, '[.!?]+'), lambda p: {q_strip('p')}), lambda p: p <> '')) AS s FROM t),
+w AS (SELECT g, list_sort({Q_SET('s')}) AS w, count(*) AS n FROM s GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY w) AS i, len(w) AS z FROM w),
+p AS (SELECT g, sum(n * (n - 1) // 2) AS c FROM k GROUP BY ALL UNION ALL SELECT a.g, sum(a.n * b.n) FROM k a JOIN k b ON a.g = b.g
   AND a.i < b.i AND least(a.z, b.z) > 0.8 * greatest(a.z, b.z) AND {q_jaccard('a.w', 'b.w')} > 0.8 GROUP BY ALL),
-q AS (SELECT book, edition, chapter, sum(c)::BIGINT AS repeated FROM p GROUP BY ALL),
-e AS (SELECT book, edition, chapter, x, len({q_words('x')}) AS m, lower(x) AS low,
+q AS (SELECT g, sum(c)::BIGINT AS repeated FROM p GROUP BY ALL),
+e AS (SELECT *, len({q_words('x')}) AS m, lower(x) AS low,
   (({' + '.join(f"({q_count('x', m)} % 2)" for m in quality.PAIRED_MARKS)}) + len(list_filter(list_transform(list_filter(regexp_extract_all(x, '<[^>]+>'), lambda t: NOT starts_with(t, '</')), lambda t: trim(t, '<>/')),
   lambda t: NOT list_contains(list_transform(list_filter(regexp_extract_all(x, '<[^>]+>'), lambda u: starts_with(u, '</')), lambda u: trim(u, '<>/')), t))))::INT AS formatting, {q_fluency('x')} AS fluency FROM t),
-r AS (SELECT book, edition, chapter, formatting, ((m > 0)::INT + ({' OR '.join(f"{q_count('low', w)} > m * 0.3" for w in quality.COMMON_WORDS)})::INT) AS mistranslations, coalesce(repeated, 0) AS repeated, fluency
-  FROM e LEFT JOIN q USING (book, edition, chapter)) SELECT *, formatting + mistranslations + repeated AS total FROM r""")
+r AS (SELECT {Q_CHAPTER}, formatting, ((m > 0)::INT + ({' OR '.join(f"{q_count('low', w)} > m * 0.3" for w in quality.COMMON_WORDS)})::INT) AS mistranslations, coalesce(repeated, 0) AS repeated, fluency
+  FROM e LEFT JOIN q USING (g)) SELECT *, formatting + mistranslations + repeated AS total FROM r""")
 def chapter_checks(spark, d):
     return pipeline.chapter_checks(tm(spark, d))
 
@@ -441,12 +454,11 @@ def doc_chapters(spark, d):
     return c.select(F.col("path").cast("long").alias("doc_id"), "chapter", own.cast("long").alias("blocks"), F.when(F.col("chapter") > 0, F.col("title")).alias("title")).filter("blocks > 0 OR chapter > 0")
 
 
-@query(f"""WITH {Q_READ}, ok AS (SELECT book, edition, chapter FROM now WHERE coalesce(source_lang <> '@', true) GROUP BY {Q_CHAPTER} HAVING count_if(target IS NULL OR target = '') = 0),
-g AS (SELECT book, edition, chapter, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY paragraph, id) FILTER (paragraph > 0) AS text FROM readout GROUP BY ALL),
-l AS (SELECT book, edition, chapter, {Q_LINES} AS ls FROM g WHERE (book, edition, chapter) IN (SELECT DISTINCT book, edition, chapter FROM ok))
-SELECT book, edition, chapter, coalesce(list_aggregate(list_transform(ls, lambda l: {Q_LINE}), 'string_agg', chr(10)), '') AS html FROM l""")
+@query(f"""WITH {Q_READ}, g AS (SELECT {Q_CHAPTER}, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY paragraph, id) FILTER (paragraph > 0) AS text FROM readout
+  GROUP BY ALL HAVING count_if(target IS NULL OR target = '') = 0), l AS (SELECT {Q_CHAPTER}, {Q_LINES} AS ls FROM g)
+SELECT {Q_CHAPTER}, coalesce(list_aggregate(list_transform(ls, lambda l: {Q_LINE}), 'string_agg', chr(10)), '') AS html FROM l""")
 def build_xhtml(spark, d):
-    return pipeline.built_chapters(tm(spark, d)).select("book", "edition", "chapter", "html")
+    return pipeline.built_chapters(tm(spark, d)).select(*readers.CHAPTER, "html")
 
 
 @query()
@@ -485,11 +497,19 @@ def epub_books(spark, d):
 
     ship_package(spark)
 
+    pair = ["book", "source_lang", "target_lang", "edition"]
+
     def count(batches):
         import pandas as pd
 
         for pdf in batches:
-            rows = [(r.book, r.edition, r.title, len(c), sum(len(x["paragraphs"]) for x in c)) for r in pdf.itertuples(index=False) for c in [read_epub(bytes(r.epub))]]
-            yield pd.DataFrame(rows, columns=["book", "edition", "title", "chapters", "paragraphs"])
+            rows = [(*(getattr(r, k) for k in pair), r.title, len(c), sum(len(x["paragraphs"]) for x in c)) for r in pdf.itertuples(index=False) for c in [read_epub(bytes(r.epub))]]
+            yield pd.DataFrame(rows, columns=[*pair, "title", "chapters", "paragraphs"])
+
+    return pipeline.build_books(tm(spark, d)).mapInPandas(count, "book long, source_lang string, target_lang string, edition int, title string, chapters int, paragraphs int")
 
-    return pipeline.build_books(tm(spark, d), "French").mapInPandas(count, "book long, edition int, title string, chapters int, paragraphs int")
+
+@query()
+def translate_in_order(spark, d):
+    """All pending rows, each with the replies to those before it in its book as context."""
+    return pipeline.translate(tm(spark, d), StubClient, in_order=True).select("id", "source", "target", "fluency", "model")

@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quality import adequacy, fluency, formatting_issues, mistranslations
-from ..functions.text import after_colon, language_code, markdown_html, strip_markdown
+from ..functions.text import after_colon, language_code, markdown_html, safe_filename, strip_markdown
 from ..operators import context as ctx
 from ..operators import similarity, store
-from ..operators.model import LOW_ADEQUACY, better_of, changed, model_text, translatable
+from ..operators.model import LOW_ADEQUACY, better_of, changed, model_text, model_text_in_order, translatable
 from ..session import small_side, stage
 from ..sources.epub import write_epub
-from ..sources.readers import chapter_texts, explode_paragraphs
+from ..sources.readers import CHAPTER, chapter_texts, explode_paragraphs, stem
 
 SYSTEM = "Translate {source_lang} text to {target_lang}. Keep its Markdown. Answer inside <{target_lang}> tags in lower case."
 SYSTEM_PROOF = "Correct this {target_lang} text. Keep its Markdown. Answer inside <{target_lang}> tags in lower case."
@@ -34,13 +34,19 @@ def extract(chapters: DataFrame, memory: DataFrame, book: Column, source_lang: s
     rows = store.candidates(p, kept.filter(pair)).join(last, "book", "left")
     edition = F.when(F.coalesce("last", F.lit(0)) == 0, F.lit(1)).otherwise(F.col("last") + (1 if new_edition else 0))
     rows = rows.withColumn("edition", edition.cast("int")).withColumn("created", F.localtimestamp())
-    return store.insert_ignore(kept, with_ids(rows, kept).select(*kept.columns))
+    return store.insert_ignore(kept, stage(with_ids(rows, kept).select(*kept.columns), "candidates"))  # ids must not change
 
 
 def with_ids(rows: DataFrame, memory: DataFrame) -> DataFrame:
     """Fresh ids after the memory's largest: numbered within partitions, spread by partition, so unique without a sort."""
-    top = memory.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    return rows.withColumn("_one", F.lit(1)).join(top.withColumn("_one", F.lit(1)), "_one").withColumn("id", F.col("_top") + 1 + F.monotonically_increasing_id()).drop("_one", "_top")
+    top = memory.agg(F.max("id")).first()[0] or 0
+    return rows.withColumn("id", F.lit(top + 1).cast("long") + F.monotonically_increasing_id())
+
+
+def of_pair(rows: DataFrame, source_lang: str, target_lang: str, edition: int | None = None) -> DataFrame:
+    """Rows of one language pair, with the overlays of its target language; of one edition if it is given."""
+    own = rows.filter(((F.col("source_lang") == source_lang) | (F.col("source_lang") == store.OVERLAY)) & (F.col("target_lang") == target_lang))
+    return own if edition is None else own.filter(F.col("edition") == edition)
 
 
 def originals(rows: DataFrame) -> DataFrame:
@@ -55,9 +61,10 @@ def pending(rows: DataFrame) -> DataFrame:
     return with_context(originals(rows)).withColumn("context", ctx.within_budget(F.col("context")))
 
 
-def with_context(now: DataFrame) -> DataFrame:
-    """As pending, of current rows and without the word limit."""
+def with_context(now: DataFrame, chapters: list[int] | None = None) -> DataFrame:
+    """As pending, of current rows and without the word limit; only of some chapters if they are given."""
     todo = translatable(now.filter(~store.is_filled(F.col("target"))))
+    todo = todo if chapters is None else todo.filter(F.col("chapter").isin(chapters))
     c = ctx.context_of(now, todo)
     return todo.join(c, "id", "left").withColumn("context", F.coalesce("context", no_context()))
 
@@ -119,13 +126,15 @@ def prefilled(todo: DataFrame, pairs: DataFrame) -> DataFrame:
     return todo.join(pairs, ["book", "source_lang", "target_lang"], "left").withColumn("context", ctx.within_budget(full)).drop("x")
 
 
-def translate(rows: DataFrame, client_factory: Callable[[], object], model: str = "stub", min_interval: float = 0.0, parallel: int | None = None, memory: DataFrame | None = None) -> DataFrame:
+def translate(rows: DataFrame, client_factory: Callable[[], object], model: str = "stub", min_interval: float = 0.0, parallel: int | None = None, memory: DataFrame | None = None, in_order: bool = False, chapters: list[int] | None = None) -> DataFrame:
     """Translated rows for the pending ones, known texts from the memory (rows themselves by default) and all others by the
     model, equal ones with the reply to the first. Requests have a similar example of the memory, and contexts are filled up
-    to three pairs. A reply that scores under LOW_ADEQUACY is asked for once more, without
-    context, and the better of both is kept."""
+    to three pairs; chapters restricts what is translated, not what is context. A reply that scores under LOW_ADEQUACY is asked for once more, without
+    context, and the better of both is kept. Every reply is written down before it is used, so that it is paid for once however
+    often the result is read. in_order: contexts hold this run's own replies too, book by book, so that a book is worked
+    off in one task."""
     now = stage(originals(rows), "now")
-    todo = stage(with_context(now).drop("duration", "fluency", "model", "created"), "pending")
+    todo = stage(with_context(now, chapters).drop("duration", "fluency", "model", "created"), "pending")
     table = (rows if memory is None else memory).select(*store.SCHEMA.fieldNames())
     todo = stage(known(todo, table), "todo")
     ready = todo.filter("known IS NOT NULL").select("*", "known.reply", "known.model", F.lit(0).alias("duration"))
@@ -133,50 +142,99 @@ def translate(rows: DataFrame, client_factory: Callable[[], object], model: str
     ask = misses.join(misses.groupBy("_text").agg(F.min("id").alias("id")), ["_text", "id"], "left_semi")
     call = lambda asked: model_text(asked, client_factory, SYSTEM, "translate", model, min_interval, parallel)
     hits = stage(store.best_hits(table, with_phrase(todo if memory is None else todo.select("source", "source_lang", "target_lang").unionByName(memory.filter(~store.is_filled(F.col("target"))).select("source", "source_lang", "target_lang")))), "examples")
-    pairs = prefill_pairs(now if memory is None else stage(originals(memory), "whole"), ask, hits, call)
-    ask = prefilled(with_example(ask, hits), pairs)
-    first = stage(call(ask).withColumn("adequacy", adequacy(F.col("source"), F.col("reply"))), "first")
+    pairs = None if in_order else prefill_pairs(now if memory is None else stage(originals(memory), "whole"), ask, hits, call)
+    ask = with_example(ask, hits)
+    if in_order:
+        replies = replies_in_order(now.unionByName(ready.select(*[F.col("reply").alias("target") if c == "target" else c for c in ready.columns if c in now.columns]), allowMissingColumns=True), ask, client_factory, model, min_interval)
+        replies = ask.join(replies, "id")
+    else:
+        replies = call(prefilled(ask, pairs))
+    first = stage(replies.withColumn("adequacy", adequacy(F.col("source"), F.col("reply"))), "first")
     low = first.filter((F.col("adequacy") < LOW_ADEQUACY) & (F.col("reply") != "")).drop("reply", "adequacy", "duration").withColumn("context", no_context())
-    second = call(low).withColumn("adequacy", adequacy(F.col("source"), F.col("reply")))
+    second = stage(call(low).withColumn("adequacy", adequacy(F.col("source"), F.col("reply"))), "second")
     replies = better_of(first, second, ["id"]).filter(F.col("reply") != "").select("_text", "reply", "duration", F.lit(model).alias("model"), F.col("id").alias("_asked"))
     asked = misses.join(replies, "_text").withColumn("duration", F.when(F.col("id") == F.col("_asked"), F.col("duration")).otherwise(0))
     done = ready.unionByName(asked, allowMissingColumns=True)
-    return done.select("id", "book", "edition", "chapter", "paragraph", "source_lang", "source", "target_lang", F.col("reply").alias("target"), F.col("duration").cast("int").alias("duration"), fluency(F.col("reply")).alias("fluency"), "model", F.localtimestamp().alias("created"))
+    return stage(done.select("id", "book", "edition", "chapter", "paragraph", "source_lang", "source", "target_lang", F.col("reply").alias("target"), F.col("duration").cast("int").alias("duration"), fluency(F.col("reply")).alias("fluency"), "model", F.localtimestamp().alias("created")), "translated")
 
 
-def proofread(rows: DataFrame, client_factory: Callable[[], object], model: str = "stub", min_interval: float = 0.0, parallel: int | None = None) -> DataFrame:
-    """Overlay rows for translated rows that have none; replies that change nothing but layout give no row."""
-    read = store.overlay_read(rows.select(*store.SCHEMA.fieldNames()))
-    todo = translatable(read.filter(store.is_filled(F.col("target")) & F.col("proof").isNull()).withColumn("_orig", F.col("source")).withColumn("source", F.col("target")).drop("target"))
-    todo = todo.withColumn("context", no_context()).drop("duration", "source_lang").withColumn("source_lang", F.col("target_lang"))
-    out = model_text(todo, client_factory, SYSTEM_PROOF, "proofread", model, min_interval, parallel)
-    out = out.filter((F.col("reply") != "") & changed(F.col("source"), F.col("reply")))
-    return out.select("id", "book", "edition", "chapter", "paragraph", F.lit(store.OVERLAY).alias("source_lang"), "source", "target_lang", F.col("reply").alias("target"), F.col("duration").cast("int").alias("duration"), fluency(F.col("reply")).alias("fluency"), F.lit(model).alias("model"), F.localtimestamp().alias("created"))
+def replies_in_order(now: DataFrame, ask: DataFrame, client_factory: Callable[[], object], model: str, min_interval: float) -> DataFrame:
+    """id, reply, duration of the rows to ask for, worked off by book, pair and edition in translation order."""
+    group = ["book", "source_lang", "target_lang", "edition"]
+    cols = ["id", "book", "source_lang", "target_lang", "edition", "chapter", "paragraph", "source", "target"]
+    told = now.filter(store.is_filled(F.col("target"))).select(*cols, F.lit(None).cast("struct<source:string,target:string>").alias("example"), F.lit(False).alias("ask"))
+    asked = ask.withColumn("target", F.lit(None).cast("string")).withColumn("ask", F.lit(True)).select(*cols, "example", "ask")
+    ranked = ctx.chapter_rank(told.unionByName(asked))
+    return model_text_in_order(ranked, group, ["chapter_rank", "paragraph", "id"], client_factory, SYSTEM, model, min_interval, ctx.SIZE, ctx.WORD_LIMIT)
+
+
+def proofread(rows: DataFrame, client_factory: Callable[[], object], model: str = "stub", min_interval: float = 0.0, parallel: int | None = None, memory: DataFrame | None = None, chapters: list[int] | None = None) -> DataFrame:
+    """Overlay rows for translated rows that have none. A text that an overlay of the memory (rows themselves by default)
+    already corrects takes that reply; all others go to the model, with the five corrected pairs before them in
+    their book as context. Replies that change nothing but layout give no row; each is written down before it is used."""
+    own = rows.select(*store.SCHEMA.fieldNames())
+    read = stage(store.overlay_read(own), "read")
+    texts = read.drop("source", "source_lang").withColumnRenamed("target", "source").withColumn("source_lang", F.lit(store.OVERLAY))
+    todo = translatable(texts.filter(store.is_filled(F.col("source")) & F.col("proof").isNull())).drop("duration", "fluency", "model", "created")
+    todo = todo if chapters is None else todo.filter(F.col("chapter").isin(chapters))
+    c = ctx.context_of(texts.withColumnRenamed("proof", "target"), todo)
+    todo = todo.join(c, "id", "left").withColumn("context", ctx.within_budget(F.coalesce("context", no_context())))
+    todo = stage(known(todo, own if memory is None else memory.select(*store.SCHEMA.fieldNames())), "todo")
+    ready = todo.filter("known.model <> 'copy'").select("*", "known.reply", "known.model", F.lit(0).alias("duration"))
+    misses = todo.filter("known IS NULL").withColumn("source_lang", F.col("target_lang"))
+    out = stage(model_text(misses, client_factory, SYSTEM_PROOF, "proofread", model, min_interval, parallel), "proofs").withColumn("model", F.lit(model))
+    out = out.unionByName(ready, allowMissingColumns=True).filter(store.is_filled(F.col("reply")) & changed(F.col("source"), F.col("reply")))
+    return stage(out.select("id", "book", "edition", "chapter", "paragraph", F.lit(store.OVERLAY).alias("source_lang"), "source", "target_lang", F.col("reply").alias("target"), F.col("duration").cast("int").alias("duration"), fluency(F.col("reply")).alias("fluency"), "model", F.localtimestamp().alias("created")), "proofread")
 
 
 def built_chapters(rows: DataFrame) -> DataFrame:
-    """Title and html of every chapter whose rows are all translated, proofread texts where there are any."""
-    whole = store.complete_chapters(store.current(rows).filter(F.coalesce(F.col("source_lang") != store.OVERLAY, F.lit(True)))).select("book", "edition", "chapter")
-    texts = chapter_texts(store.overlay_read(rows)).join(whole.distinct(), ["book", "edition", "chapter"], "left_semi")
-    return texts.withColumn("_h", markdown_html(F.col("markdown"))).select("book", "edition", "chapter", F.coalesce("title", "_h.title", F.concat(F.lit("Chapter "), F.col("chapter").cast("string"))).alias("title"), "_h.html")
+    """Title, text and html of every chapter of a language pair whose rows are all translated, proofread texts where there are any."""
+    texts = chapter_texts(store.overlay_read(rows), "text", F.count_if(~store.is_filled(F.col("target"))).alias("_open")).filter("_open = 0")
+    return texts.withColumn("_h", markdown_html(F.col("markdown"))).select(*CHAPTER, F.coalesce("title", "_h.title", F.concat(F.lit("Chapter "), F.col("chapter").cast("string"))).alias("title"), "markdown", "_h.html")
+
+
+#: Characters of html that one book may have; it is put together in one task.
+BOOK_CHARS = 500_000_000
 
 
-def build_books(rows: DataFrame, target_lang: str) -> DataFrame:
-    """(book, edition, title, epub) of every book: title and author from its metadata chapter, each book put together in
-    one task, since a book is small."""
+def build_books(rows: DataFrame) -> DataFrame:
+    """(book, source_lang, target_lang, edition, title, epub) of every book in every language pair: title and author from
+    its metadata chapter. A book is one file and one row; one of more than BOOK_CHARS characters raises an error that names it."""
+    pair = CHAPTER[:-1]
     meta = store.item(store.current(rows).filter("chapter = 0 AND paragraph <= 2").filter(F.coalesce(F.col("source_lang") != store.OVERLAY, F.lit(True))))
-    m = meta.groupBy("book", "edition").agg(*[F.max(F.when(F.col("paragraph") == i, after_colon(F.col("text")))).alias(n) for i, n in ((0, "ident"), (1, "name"), (2, "author"))])
-    code = language_code(F.lit(target_lang))
-    g = built_chapters(rows).filter("chapter > 0").groupBy("book", "edition").agg(F.array_sort(F.collect_list(F.struct("chapter", "title", "html"))).alias("chapters")).join(m, ["book", "edition"], "left").withColumn("code", code)
+    m = meta.groupBy(*pair).agg(*[F.max(F.when(F.col("paragraph") == i, after_colon(F.col("text")))).alias(n) for i, n in ((0, "ident"), (1, "name"), (2, "author"))])
+    chapters = built_chapters(rows).filter("chapter > 0")
+    g = chapters.groupBy(*pair).agg(F.sum(F.length("html")).alias("chars"), F.array_sort(F.collect_list(F.struct("chapter", "title", "html"))).alias("chapters"))
+    fits = F.when(F.col("chars") <= BOOK_CHARS, F.col("chapters")).otherwise(F.raise_error(F.format_string("book %s has too many characters for one file: %s", F.col("book").cast("string"), F.col("chars").cast("string"))))
+    same = [F.col(f"g.{k}").eqNullSafe(F.col(f"m.{k}")) for k in pair]
+    g = g.withColumn("chapters", fits).alias("g").join(m.alias("m"), same[0] & same[1] & same[2] & same[3], "left").select("g.*", "ident", "name", "author", language_code(F.col("g.target_lang")).alias("code"))
 
     def pack(batches):
         import pandas as pd
 
         for pdf in batches:
-            out = [(r.book, r.edition, r.name or "Untitled", write_epub(r.ident or str(r.book), r.name or "Untitled", r.author, r.code, [(c["title"], c["html"]) for c in r.chapters])) for r in pdf.itertuples(index=False)]
-            yield pd.DataFrame(out, columns=["book", "edition", "title", "epub"])
+            out = [(r.book, r.source_lang, r.target_lang, r.edition, r.name or "Untitled", write_epub(r.ident or str(r.book), r.name or "Untitled", r.author, r.code, [(c["title"], c["html"]) for c in r.chapters])) for r in pdf.itertuples(index=False)]
+            yield pd.DataFrame(out, columns=["book", "source_lang", "target_lang", "edition", "title", "epub"])
+
+    return g.drop("chars").mapInPandas(pack, "book long, source_lang string, target_lang string, edition int, title string, epub binary")
+
+
+def chapter_files(rows: DataFrame) -> DataFrame:
+    """name, text of the files of every built chapter: Markdown without its title, and html as an article."""
+    c = built_chapters(rows).filter("chapter > 0")
+    folder = F.concat_ws("/", F.col("book").cast("string"), F.coalesce("target_lang", F.lit("unknown")), F.col("edition").cast("string"))
+    name = F.concat(folder, F.lit("/chapter-"), F.col("chapter").cast("string"))
+    article = F.concat(F.lit('<article id="chapter-'), F.col("chapter").cast("string"), F.lit('">\n'), F.col("html"), F.lit("\n</article>"))
+    return c.select(F.explode(F.array(F.struct(F.concat(name, F.lit(".md")).alias("name"), F.col("markdown").alias("text")), F.struct(F.concat(name, F.lit(".xhtml")).alias("name"), article.alias("text")))).alias("x")).select("x.*")
+
 
-    return g.mapInPandas(pack, "book long, edition int, title string, epub binary")
+def source_files(chapters: DataFrame) -> DataFrame:
+    """name, text of the Markdown files of read chapters: metadata, each chapter without its title, and the whole book."""
+    c = chapters.filter("paragraphs is not null")
+    own = F.array_join(F.slice("paragraphs", F.lit(2), F.greatest(F.size("paragraphs") - 1, F.lit(0))), "\n\n")
+    one = c.select(F.when(F.col("chapter") == 0, F.lit("metadata.md")).otherwise(F.concat(safe_filename(F.coalesce("chapter_name", "item_id")), F.lit(".md"))).alias("name"), F.when(F.col("chapter") == 0, F.array_join("paragraphs", "\n\n")).otherwise(own).alias("text"))
+    body = c.filter("chapter > 0").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("chapter", own.alias("t")))).alias("x"))
+    return one.unionByName(body.select(F.concat(stem(F.col("path")), F.lit(".md")).alias("name"), F.array_join(F.transform("x", lambda s: F.concat(s["t"], F.lit("\n\n"))), "").alias("text")))
 
 
 def quality_report(rows: DataFrame) -> DataFrame:
@@ -202,7 +260,7 @@ def book_report(rows: DataFrame, sample: int = 5) -> DataFrame:
 def chapter_checks(rows: DataFrame) -> DataFrame:
     """Faults of each chapter's text by itself, without its source: formatting, points for mistranslation (any text is
     long beside no source), repeated phrases, their total, and fluency."""
-    key = ["book", "edition", "chapter"]
+    key = CHAPTER
     texts = chapter_texts(store.overlay_read(rows).filter(store.is_filled(F.col("text")))).withColumn("_id", F.to_json(F.struct(*key)))
     phrases = similarity.repeated_count(similarity.sentence_sets(texts, "_id", "markdown"), "_id")
     t = F.col("markdown")

@@ -130,7 +130,8 @@ def test_pipeline(spark, memory, tmp_path):
     full = store.upsert(memory, done.select(*memory.columns))
     proofs = pipeline.proofread(full, lambda: StubClient("[p] "))
     assert {r.source for r in proofs.collect()} == {"Monde", "[t] Third", "Allo", "id"}
-    books = pipeline.build_books(full, "French").collect()
+    books = pipeline.build_books(full).collect()
+    assert [(r.source_lang, r.target_lang) for r in books] == [("English", "French")]
     chapters = epub.read_epub(bytes(books[0].epub))
     assert [c["chapter"] for c in chapters] == list(range(len(chapters))) and any("Monde" in p for c in chapters for p in c["paragraphs"])
     report = pipeline.quality_report(memory).filter("chapter = 1").first()
@@ -202,7 +203,10 @@ def test_epub(spark, tmp_path):
     data = epub.write_epub("id1", "Title & co", "Me", "fr", [("One", "<h1>One</h1><p>a</p>"), ("Two", "<p>a much longer paragraph that has more than ten words in it</p>")])
     (tmp_path / "b.epub").write_bytes(data)
     (tmp_path / "broken.epub").write_bytes(b"no zip")
-    rows = {r.chapter: r for r in readers.read_epubs(spark, str(tmp_path)).collect()}
+    every = readers.read_epubs(spark, str(tmp_path)).collect()
+    assert [(r.path.rpartition("/")[2], r.chapter, r.paragraphs) for r in every if r.error] == [("broken.epub", None, None)]
+    assert [(r.entry, r.title, r.target) for r in readers.read_tables_of_contents(spark, str(tmp_path)).collect()] == [(0, "One", "chapter1.xhtml"), (1, "Two", "chapter2.xhtml")]
+    rows = {r.chapter: r for r in every if not r.error}
     assert rows[0].paragraphs[:5] == ["id1", "Title & co", "Me", "Unknown", "Unknown"]
     assert rows[2].title == "One" and rows[3].chapter_name == "003. Two"
     assert epub.heading_of(["w " * 12]) is None and epub.heading_of(["1. Short start!"]) == "Short start"
@@ -223,10 +227,195 @@ def test_csv_and_store(spark, memory, tmp_path):
     assert readers.read_store(spark, path).count() == 2
 
 
+def test_store_is_never_lost(spark, memory, tmp_path, monkeypatch):
+    """A crash before or while the pointer is written leaves the last version; an unreadable version is an error."""
+    import shutil
+
+    path = str(tmp_path / "store")
+    readers.write_store(memory, path)
+    real = readers._files
+
+    class Broken:
+        def __init__(self, system):
+            self.system = system
+
+        def __getattr__(self, name):
+            return getattr(self.system, name)
+
+        def rename(self, a, b):
+            return False
+
+    monkeypatch.setattr(readers, "_files", lambda s, p: (lambda x: (x[0], Broken(x[1]), x[2]))(real(s, p)))
+    with pytest.raises(RuntimeError):
+        readers.write_store(memory.filter("id < 3"), path)
+    monkeypatch.setattr(readers, "_files", real)
+    assert readers.read_store(spark, path).count() == 6
+    version = readers.write_store(memory.filter("id < 3"), path)
+    assert readers.read_store(spark, path).count() == 2
+    shutil.rmtree(f"{path}/{version}")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        readers.read_store(spark, path)
+
+
+def counting(log, mark="[t] "):
+    """Makes clients that write down every request; a text with the word weak gets a reply that scores low. Workers don't have this module, so that all is local."""
+
+    def make():
+        import json
+
+        from lexweave.operators.model import StubClient
+
+        class Counting(StubClient):
+            def complete(self, payload):
+                with open(log, "a") as f:
+                    f.write(json.dumps([m["content"] for m in payload["messages"][1:]]) + "\n")
+                return f"<{payload['target_tag']}>Autre</{payload['target_tag']}>" if "weak" in payload["messages"][-1]["content"] else super().complete(payload)
+
+        return Counting(mark)
+
+    return make
+
+
+def asked(log):
+    import json
+
+    return [json.loads(x) for x in open(log)]
+
+
+def test_calls_are_paid_once(spark, tmp_path):
+    """As many calls as distinct requests, though the result is read again and again and stored."""
+    log = str(tmp_path / "log")
+    rows = [row(i, paragraph=i, source=f"Number {i} of the texts", target="") for i in range(10)] + [row(20, paragraph=20, source="Number 3 of the texts", target=""), row(21, paragraph=21, source="A weak text of seven words at least", target="")]
+    memory = spark.createDataFrame(rows, store.SCHEMA)
+    new = pipeline.translate(memory, counting(log))
+    new.collect()
+    full = store.upsert(memory, new.select(*memory.columns))
+    assert full.filter("target <> ''").count() == 12 and new.count() == 12
+    assert len(asked(log)) == 12  # ten texts, one weak text twice
+    proofs = pipeline.proofread(full, counting(str(tmp_path / "proofs"), "[p] "))
+    both = store.upsert(full, proofs.select(*memory.columns))
+    assert both.filter("source_lang = '@'").count() == proofs.count() == 12
+    requests = asked(str(tmp_path / "proofs"))
+    assert len(requests) == len({tuple(r) for r in requests}) and len(requests) <= 12
+    assert pipeline.proofread(both, counting(str(tmp_path / "none"))).count() == 0 and not (tmp_path / "none").exists()
+
+
+def test_proofreading_context(spark, tmp_path):
+    """Corrected pairs stand before a request; a text that was corrected before is not sent."""
+    rows = [row(i, paragraph=i, source=f"text {i}", target=f"texte {i}") for i in range(1, 5)]
+    rows += [row(10 + i, paragraph=i, lang="@", source=f"texte {i}", target=f"le texte {i}") for i in (1, 2)] + [row(20, paragraph=9, source="again", target="texte 1")]
+    log = str(tmp_path / "log")
+    got = {r.id: r.target for r in pipeline.proofread(spark.createDataFrame(rows, store.SCHEMA), counting(log, "[p] ")).collect()}
+    assert got == {3: "[p] texte 3", 4: "[p] texte 4", 20: "le texte 1"}
+    assert sorted(map(len, asked(log))) == [5, 5] and asked(log)[0][:2] == ["<french>texte 1</french>", "<french>le texte 1</french>"]
+
+
+def test_in_order(spark, tmp_path):
+    """Each request has the replies to those before it in its book, and stored pairs; at most five."""
+    log = str(tmp_path / "log")
+    rows = [row(i, paragraph=i, source=f"Words of {i}", target="Mots" if i == 2 else "") for i in range(1, 9)] + [row(20, book=2, source="Another", target="")]
+    got = {r.id: r.target for r in pipeline.translate(spark.createDataFrame(rows, store.SCHEMA), counting(log), in_order=True).collect()}
+    assert len(got) == 8 and got[8] == "[t] Words of 8"
+    by = {r[-1]: r for r in asked(log)}
+    assert by["<english>Words of 3</english>"][-5:-1] == ["<english>Words of 1</english>", "<french>[t] Words of 1</french>", "<english>Words of 2</english>", "<french>Mots</french>"]
+    pairs = [x for x in by["<english>Words of 8</english>"] if x.startswith("<english>")]
+    assert pairs[-6:] == [f"<english>Words of {i}</english>" for i in range(3, 9)] and len(by["<english>Another</english>"]) <= 3
+
+
+def test_two_languages(spark):
+    """Each language pair of a book is built and checked by itself."""
+    rows = [row(1, target="Bonjour"), row(2, target="Guten Tag", to="German"), row(3, paragraph=2, target="", to="German"), row(4, lang="@", source="Bonjour", target="Salut")]
+    memory = spark.createDataFrame(rows, store.SCHEMA)
+    built = {r.target_lang: r.html for r in pipeline.built_chapters(memory).collect()}
+    assert set(built) == {"French"} and "Salut" in built["French"] and "Guten" not in built["French"]
+    assert {r.target_lang for r in pipeline.chapter_checks(memory).collect()} == {"French", "German"}
+    assert {r.target_lang for r in pipeline.build_books(pipeline.of_pair(memory, "English", "French", 1)).collect()} == {"French"}
+    names = {r.name: r.text for r in pipeline.chapter_files(memory).collect()}
+    assert names["1/French/1/chapter-1.md"] == "Salut" and names["1/French/1/chapter-1.xhtml"].startswith('<article id="chapter-1">')
+
+
+def test_context_of_long_books(spark, monkeypatch):
+    """Contexts across blocks and stretches against a plain walk over each book."""
+    monkeypatch.setattr(context, "SPAN", 3)
+    monkeypatch.setattr(context, "BLOCK", 7)
+    rows = [row(100 * b + i, book=b, chapter=1 + i % 4, paragraph=i // 2, source=f"s{b} {i}", target=f"t{b} {i}" if i % 5 else "") for b in (1, 2) for i in range(60)]
+    df = spark.createDataFrame(rows, store.SCHEMA)
+    want = {}
+    for b in (1, 2):
+        mine = [r for r in rows if r[1] == b and r[8]]
+        n = {c: sum(r[3] == c for r in mine) for c in range(5)}
+        mine.sort(key=lambda r: (r[3] != 0, -n[r[3]], r[3], r[4], r[0]))
+        want |= {r[0]: [x[0] for x in mine[max(0, k - 5) : k]] for k, r in enumerate(mine)}
+    assert {r.id: [p.id for p in r.context] for r in context.rolling_pairs(df).collect()} == want
+    open_ = df.filter("target = ''")
+    got = {r.id: [p.id for p in r.context] for r in context.context_of(df, open_).collect()}
+    every = {}
+    for b in (1, 2):
+        mine = [r for r in rows if r[1] == b]
+        n = {c: sum(r[3] == c for r in mine) for c in range(5)}
+        mine.sort(key=lambda r: (r[3] != 0, -n[r[3]], r[3], r[4], r[0]))
+        for k, r in enumerate(mine):
+            if not r[8]:
+                every[r[0]] = [x[0] for x in mine[:k] if x[8]][-5:]
+    assert got == {k: v for k, v in every.items() if v}
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    from lexweave.__main__ import main
+
+    book = tmp_path / "A. Writer - Book.md"
+    book.write_text("# One\n\nText here.\n\n# Two\n\nMore text.\n\n# Three\n\nLast text.")
+    out = str(tmp_path / "out")
+    args = [str(book), "-t", "french", "-o", out, "--stub"]
+    assert main([*args, "-c", "2,9", "-v", "-w", "40"]) == 0
+    said = capsys.readouterr().out
+    assert "chapters that don't exist: 9" in said and "[t] More text." in said and "translate: " in said
+    rows = readers.read_store(spark, out + "/store")
+    assert {r.chapter for r in rows.filter("target <> ''").collect()} == {0, 2}
+    assert (tmp_path / "out" / "English" / "002. Two.md").read_text() == "# Two\n\nMore text." and (tmp_path / "out" / "English" / "metadata.md").exists()
+    assert "[t] More text." in (tmp_path / "out" / "1" / "French" / "1" / "chapter-2.md").read_text()
+    chapters = epub.read_epub((tmp_path / "out" / "A. Writer - Book french 1.epub").read_bytes())
+    assert chapters[0]["title"] == "[t] Book" and len(chapters) == 3  # title page and chapter 2
+    assert main([*args, "--in-order", "--translate", "--proofread"]) == 0
+    assert readers.read_store(spark, out + "/store").filter("target = ''").count() == 0
+    csv = str(tmp_path / "rows.csv")
+    assert main([*args, "-e", csv]) == 0 and main([str(book), "-o", str(tmp_path / "other"), "-i", csv]) == 0
+    assert "imported rows:" in capsys.readouterr().out
+    (tmp_path / "bad.epub").write_bytes(b"no zip")
+    assert main([str(tmp_path / "bad.epub"), "-o", str(tmp_path / "bad")]) == 1
+
+
+def test_stage_folder(spark, monkeypatch):
+    from lexweave import session
+
+    staged = session.stage(spark.range(3), "a b")
+    assert staged.count() == 3 and session.stage_dir(spark).endswith(spark.sparkContext.applicationId)
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Java:
+        sc = getCheckpointDir = lambda self: self
+        isDefined = lambda self: False
+
+    class Context:
+        master, _jsc = "yarn", Java()
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(Session())
+
+
 def test_streaming(spark, memory, tmp_path):
     memory.write.parquet(str(tmp_path / "in"))
-    run = lambda: resume.follow(spark, str(tmp_path / "in"), lambda df: df.select("id"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    run = lambda: resume.follow(spark, str(tmp_path / "in"), lambda df, memory: df.select("id").crossJoin(memory.agg(F.count("*").alias("seen"))), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert run() == 1 and [r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [3]
     assert run() == 0
     memory.filter("id = 3").withColumn("id", F.lit(33).cast("long")).write.mode("append").parquet(str(tmp_path / "in"))
-    assert run() == 1 and {r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {3, 33}
+    assert run() == 1 and {(r.id, r.seen) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(3, 6), (33, 7)}
