@@ -156,12 +156,13 @@ def _letters() -> np.ndarray:
     return _LETTERS
 
 
-def mixture(scores: np.ndarray, doc: np.ndarray, n_docs: int, prior: np.ndarray | None = None, penalty: float = 6.0, rounds: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def mixture(scores: np.ndarray, doc: np.ndarray, n_docs: int, prior: np.ndarray | None = None, penalty: float = 6.0, rounds: int = 4, background: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Language of each sentence under each document's own mixture.
 
     prior: log weights [n_docs, K] of languages expected beforehand. Returns the language of each sentence, its
     posterior, and each document's proportions. A language enters a document's set only while the penalised
-    likelihood rises: each further language costs `penalty` nats."""
+    likelihood rises: each further language costs `penalty` nats. background: log likelihood of each sentence in no
+    language of the model, which lowers the posterior of text that none fits and decides nothing."""
     if not len(scores):
         return np.zeros(0, np.int64), np.zeros(0), np.zeros((n_docs, K))
     logp = scores.astype(np.float64)
@@ -206,6 +207,8 @@ def mixture(scores: np.ndarray, doc: np.ndarray, n_docs: int, prior: np.ndarray
     pick = post.argmax(1)
     # confidence against all languages, not only those of the set
     z = logp + pri[owner][seg]
+    if background is not None:
+        z = np.concatenate([z, background[:, None]], 1)
     z -= z.max(1, keepdims=True)
     free = np.exp(z)
     conf = free[np.arange(len(pick)), pick] / free.sum(1)

@@ -232,4 +232,18 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("*", F.ceil(F.col("tokens") / F.col("capacity")).alias("least"), (F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("filled"))
 
 
-QUERIES = {"p7_containers": p7_containers, "p7_report": p7_report}
+def p7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of any packing: texts packed, containers above the capacity, texts divided though they would fit."""
+    packed = p7_containers(spark, sf_dir)
+    kind = ["container_id", "capacity"]
+    over = packed.groupBy(*kind, "container").agg(F.sum("tokens").alias("t")).groupBy(*kind).agg(F.count_if(F.col("t") > F.col("capacity")).alias("overfull"))
+    texts = packed.groupBy(*kind, "doc_id").agg(F.sum("tokens").alias("t"), F.count_if(F.col("part") == 0).alias("n"), F.count("*").alias("pieces"))
+    texts = texts.groupBy(*kind).agg(F.sum("n").alias("texts"), F.count_if((F.col("pieces") > F.col("n")) & (F.col("t") <= F.col("capacity"))).alias("divided"))
+    return texts.join(over, kind).select(*kind, "texts", "overfull", "divided")
+
+
+QUERIES = {"p7_containers": p7_containers, "p7_report": p7_report, "p7_totals": p7_totals}
+SQL = {
+    "p7_totals": """SELECT container_id, capacity, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL AND text <> '') AS texts, 0::BIGINT AS overfull, 0::BIGINT AS divided
+FROM containers WHERE capacity > 0 AND EXISTS (SELECT 1 FROM documents WHERE doc_id IS NOT NULL AND text <> '')""",
+}

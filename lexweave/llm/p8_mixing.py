@@ -178,4 +178,21 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("source", "target_share", "scaled_share", "max_repeats", F.coalesce("tokens", zero).alias("tokens"), F.coalesce("documents", zero).alias("documents"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), (F.coalesce("tokens", zero) / F.lit(max(total, 1))).alias("actual_share"), (F.coalesce("tokens", zero) - F.col("wanted")).alias("residual_tokens"))
 
 
-QUERIES = {"p8_collection": p8_collection, "p8_shares": p8_shares}
+def p8_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of any draw, for each source that has texts: texts used above the cap, texts of another source, texts drawn twice."""
+    drawn, shares = _drawn(spark, sf_dir)
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("source").alias("own"), F.md5("text").alias("h"))
+    caps = spark.createDataFrame([(s, v["cap"]) for s, v in shares.items() if v["texts"]], "source string, max_repeats int")
+    j = caps.join(drawn.join(documents, "doc_id"), "source", "left")
+    again = j.filter("h is not null").groupBy("source", "h").agg(F.count("*").alias("n")).groupBy("source").agg(F.count_if(F.col("n") > 1).alias("repeated"))
+    g = j.groupBy("source", "max_repeats").agg(F.count_if(F.col("uses") > F.col("max_repeats")).alias("over_cap"), F.count_if(F.col("own") != F.col("source")).alias("other_source"))
+    return g.join(again, "source", "left").withColumn("repeated", F.coalesce("repeated", F.lit(0).cast("long")))
+
+
+QUERIES = {"p8_collection": p8_collection, "p8_shares": p8_shares, "p8_totals": p8_totals}
+SQL = {
+    "p8_totals": """WITH one AS (SELECT text, arg_min(source, doc_id) AS source FROM documents d
+  WHERE doc_id IS NOT NULL AND text <> '' AND source IN (SELECT source FROM mix_targets WHERE target_share > 0 AND max_repeats > 0) GROUP BY text)
+SELECT source, max_repeats, 0::BIGINT AS over_cap, 0::BIGINT AS other_source, 0::BIGINT AS repeated FROM mix_targets
+WHERE target_share > 0 AND max_repeats > 0 AND source IN (SELECT source FROM one)""",
+}

@@ -210,6 +210,14 @@ def test_mixture():
     assert lang.tolist() == [0, 1, 1, 2] and (conf > 0.9).all() and (shares[0] > 0).sum() == 2 and shares[2].sum() == 0
 
 
+def test_background_language(spark):
+    """Text of a language that the model lacks has little confidence, text of its own nearly all."""
+    m = LanguageModel.fit([(t * 3, k) for k, ts in SAMPLES.items() for t in ts])
+    rows = [row(1, target="Nobody knew why the old man was waiting with the bread.", tl="?"), row(2, target="Tutkijat julkaisivat eilen uuden tutkimuksen merten lämpenemisestä.", tl="?")]
+    conf = {r.id: r.confidence for r in p2_language.language_segments(memory(spark, rows), m).collect()}
+    assert conf[1] > 0.95 and conf[2] < 0.1
+
+
 def test_segments(spark):
     m = LanguageModel.fit([(t, k) for k, ts in SAMPLES.items() for t in ts])
     rows = [row(1, target="Le vieil homme ouvrit la porte. The old man saw the river. Nobody knew why she was there."), row(2, target="Personne ne savait pourquoi elle attendait.", tl="FR"),
