@@ -16,6 +16,11 @@ COMMON_WORDS = ("the", "and", "or", "but", "of", "in", "on", "at", "to", "for",
 PAIRED_MARKS = ("**", "*", "__", "~~", "`")
 
 
+_RUN = re.compile(r"\w+")
+#: Letters whose lower case is not one letter of its own, and those that share one.
+_ODD_CASE = re.compile("[\u0130\u0131\u017f\u01c4-\u01cc\u01f1-\u01f3\u0345\u0390\u03b0\u03c2\u03d0-\u03d6\u03f0-\u03f5\u1c80-\u1c8a\u1e9b\u1e9e\u1fbe\u1fd3\u1fe3\u2126\u212a\u212b\ua64a\ua64b\ufb05\ufb06\u00b5\u00df]")
+
+
 def bounded(x: Column) -> Column:
     """Truncated to an integer between 0 and 100."""
     return F.greatest(F.lit(0), F.least(F.lit(100), x.cast("int")))
@@ -124,8 +129,10 @@ __all__ = ["adequacy", "bleeding", "bounded", "content_terms", "fluency", "forma
 
 def untranslated_segments(source: Column, target: Column) -> Column:
     """Source words of more than three characters that occur as whole words in the target, letter case ignored, by
-    regular expression: a word that is only marks matches any target with a word character. Python over batches, for
-    those who need word boundaries exactly; `untranslated_tokens` compares words in the JVM."""
+    the rules of a regular expression: a word that is only marks matches any target with a word character. A word of word
+    characters is looked up among the target's runs of them; only words with other marks inside, and letters with several lower
+    cases, need an expression of their own. Python over batches, for those who need word boundaries exactly;
+    `untranslated_tokens` compares words in the JVM."""
     def count(s: pd.Series, t: pd.Series) -> pd.Series:
         out = []
         for a, b in zip(s, t):
@@ -133,10 +140,12 @@ def untranslated_segments(source: Column, target: Column) -> Column:
                 out.append(None)
                 continue
             hit: dict[str, bool] = {}
+            runs = set(_RUN.findall(b.lower()))
+            odd = _ODD_CASE.search(b) is not None
             n = 0
             for w in (x.lower().strip('.,!?;:"()[]{}') for x in a.split() if len(x) > 3):
                 if w not in hit:
-                    hit[w] = re.search(rf"\b{re.escape(w)}\b", b, re.IGNORECASE) is not None
+                    hit[w] = w in runs or ((odd or not _RUN.fullmatch(w) or _ODD_CASE.search(w) is not None) and re.search(rf"\b{re.escape(w)}\b", b, re.IGNORECASE) is not None)
                 n += hit[w]
             out.append(n)
         return pd.Series(out, dtype="Int32")

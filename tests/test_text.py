@@ -99,7 +99,7 @@ def test_side_by_side(spark):
 def test_untranslated_segments(spark):
     import re
 
-    pairs = [("Hello dear Wörld, ---- Hello", "hello ein wörld"), ("abc", "abc"), ("éclair éclair", "un éclair"), ("----", "x"), ("....", "")]
+    pairs = [("Hello dear Wörld, ---- Hello", "hello ein wörld"), ("abc", "abc"), ("éclair éclair", "un éclair"), ("----", "x"), ("....", ""), ("well-known WORDS wordsmith", "Well-Known words"), ("masse Kelvin", "Maſſe elvin \u212aelvin"), ("ΛΌΓΟΣ wort", "λόγος wort_")]
     df = spark.createDataFrame([*pairs, (None, "x"), ("x", None)], "s string, t string")
     got = [r.n for r in df.select(quality.untranslated_segments(F.col("s"), F.col("t")).alias("n")).collect()]
     brute = [sum(bool(re.search(rf"\b{re.escape(w.lower().strip('.,!?;:()[]{}'))}\b", t, re.I)) for w in s.split() if len(w) > 3) for s, t in pairs]
