@@ -16,7 +16,7 @@ from ..functions import quality, text
 from ..functions.html import html_markdown
 from ..operators import context, similarity, store
 from ..operators.model import StubClient
-from ..session import checkpoint_dir, read_table
+from ..session import read_table, stage_dir
 from ..sources import readers
 from . import pipeline
 
@@ -471,7 +471,7 @@ def html_roundtrip(spark, d):
 @query("SELECT id, edition, chapter, paragraph, source_lang, source, coalesce(target_lang, '') AS target_lang, coalesce(target, '') AS target, coalesce(duration, -1) AS duration, coalesce(fluency, 1) AS fluency, coalesce(model, '') AS model, coalesce(strftime(created, '%Y-%m-%d %H:%M:%S.%f'), '') AS created FROM translations")
 def csv_roundtrip(spark, d):
     """Export and import again; empty and null numbers come back as the defaults."""
-    path = f"{checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    path = f"{stage_dir(spark)}/csv-{uuid.uuid4().hex}"
     t = tm(spark, d).withColumns({"target": F.coalesce("target", F.lit("")), "model": F.coalesce("model", F.lit(""))})
     readers.export_csv(t, path)
     return readers.import_csv(spark, path).select(*readers.CSV_COLUMNS).withColumn("created", F.coalesce(F.date_format("created", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("")))

@@ -142,10 +142,11 @@ def translate(rows: DataFrame, client_factory: Callable[[], object], model: str
     ask = misses.join(misses.groupBy("_text").agg(F.min("id").alias("id")), ["_text", "id"], "left_semi")
     call = lambda asked: model_text(asked, client_factory, SYSTEM, "translate", model, min_interval, parallel)
     hits = stage(store.best_hits(table, with_phrase(todo if memory is None else todo.select("source", "source_lang", "target_lang").unionByName(memory.filter(~store.is_filled(F.col("target"))).select("source", "source_lang", "target_lang")))), "examples")
-    pairs = None if in_order else prefill_pairs(now if memory is None else stage(originals(memory), "whole"), ask, hits, call)
+    pairs = prefill_pairs(now if memory is None else stage(originals(memory), "whole"), ask, hits, call)
     ask = with_example(ask, hits)
     if in_order:
-        replies = replies_in_order(now.unionByName(ready.select(*[F.col("reply").alias("target") if c == "target" else c for c in ready.columns if c in now.columns]), allowMissingColumns=True), ask, client_factory, model, min_interval)
+        told = now.unionByName(ready.select(*[F.col("reply").alias("target") if c == "target" else c for c in ready.columns if c in now.columns]), allowMissingColumns=True)
+        replies = replies_in_order(told, ask, pairs, client_factory, model, min_interval)
         replies = ask.join(replies, "id")
     else:
         replies = call(prefilled(ask, pairs))
@@ -158,13 +159,17 @@ def translate(rows: DataFrame, client_factory: Callable[[], object], model: str
     return stage(done.select("id", "book", "edition", "chapter", "paragraph", "source_lang", "source", "target_lang", F.col("reply").alias("target"), F.col("duration").cast("int").alias("duration"), fluency(F.col("reply")).alias("fluency"), "model", F.localtimestamp().alias("created")), "translated")
 
 
-def replies_in_order(now: DataFrame, ask: DataFrame, client_factory: Callable[[], object], model: str, min_interval: float) -> DataFrame:
-    """id, reply, duration of the rows to ask for, worked off by book, pair and edition in translation order."""
+def replies_in_order(now: DataFrame, ask: DataFrame, pairs: DataFrame, client_factory: Callable[[], object], model: str, min_interval: float) -> DataFrame:
+    """id, reply, duration of the rows to ask for, worked off by book, pair and edition in translation order; the pairs
+    of a prefill stand before the first row."""
     group = ["book", "source_lang", "target_lang", "edition"]
     cols = ["id", "book", "source_lang", "target_lang", "edition", "chapter", "paragraph", "source", "target"]
     told = now.filter(store.is_filled(F.col("target"))).select(*cols, F.lit(None).cast("struct<source:string,target:string>").alias("example"), F.lit(False).alias("ask"))
     asked = ask.withColumn("target", F.lit(None).cast("string")).withColumn("ask", F.lit(True)).select(*cols, "example", "ask")
     ranked = ctx.chapter_rank(told.unionByName(asked))
+    first = pairs.join(ask.select(*group).distinct(), group[:3]).select(*group, F.posexplode(in_place(F.col("x"))).alias("paragraph", "p"))
+    first = first.select(F.col("p.id").alias("id"), *group, F.lit(0).alias("chapter"), "paragraph", "p.source", "p.target", F.lit(0).alias("chapter_rank"), F.lit(False).alias("ask"))
+    ranked = ranked.unionByName(first, allowMissingColumns=True)
     return model_text_in_order(ranked, group, ["chapter_rank", "paragraph", "id"], client_factory, SYSTEM, model, min_interval, ctx.SIZE, ctx.WORD_LIMIT)
 
 
