@@ -168,6 +168,23 @@ def test_gram_product_is_exact():
     assert np.allclose(out[:500], x.T @ (x @ omega[:500]), atol=1e-3) and not out[500:].any()
 
 
+def test_encoded_pairs_are_small(spark, monkeypatch):
+    """A row of coded terms belongs to one pair, whatever a piece holds, and its product is that of all pairs together."""
+    words = ["".join(chr(97 + k // 26**j % 26) for j in range(4)) for k in range(3_000)]
+    rng = random.Random(12)
+    texts = [(" ".join(rng.sample(words, n)), " ".join(rng.sample(words, n))) for n in [5] * 300 + [2_000]]
+    coded = p1_alignment.encode_pairs(memory(spark, [row(i, *t) for i, t in enumerate(texts)])).filter("kind = 'p'").persist()
+    sizes = sorted(len(r.terms) for r in coded.collect())
+    assert len(sizes) == 301 and max(sizes[:-1]) <= 2 * 10 and 0 < sizes[-1] <= 2 * 4_000
+    term, doc, side, *_ = vectors.paired_terms(vectors.Terms(), *map(list, zip(*texts)))
+    weight, omega, want = np.ones(vectors.D, np.float32), vectors.start_matrix(4), np.zeros((vectors.D, 4), np.float32)
+    vectors.gram_product(term, doc, side, np.ones(301), weight, omega, want)
+    monkeypatch.setattr(p1_alignment, "TERMS", 500)
+    got = p1_alignment.summed_product(coded, weight, np.ones((p1_alignment.K_LANGS + 1) ** 2), omega)
+    coded.unpersist()
+    assert want.any() and np.allclose(got, want, atol=1e-3)
+
+
 WORDS = {"cat": "chat", "dog": "chien", "tree": "arbre", "house": "maison", "river": "fleuve", "moon": "lune", "bread": "pain", "king": "roi", "book": "livre", "snow": "neige", "door": "porte", "horse": "cheval"}
 VERBS = {"sees": "voit", "finds": "trouve", "sells": "vend", "hides": "cache", "loves": "aime", "burns": "brule"}
 
