@@ -131,6 +131,24 @@ def test_alignment_in_pieces(monkeypatch):
     assert len(whole) > 60 and vectors.align(src, tgt, sizes=sizes) == whole
 
 
+def test_cosines_of_windows():
+    """Cosines of windows come from the products of their sentences; vectors of sentences of any length are weighted sums."""
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 9, 70):
+        src, tgt = rng.standard_normal((n, 16)).astype(np.float32), rng.standard_normal((5, 16)).astype(np.float32)
+        sums = np.stack([src[i:j].sum(0) for i, j in vectors._windows(n, 3)])
+        want = sums @ tgt.T / np.linalg.norm(sums, axis=1)[:, None] / np.linalg.norm(tgt, axis=1)
+        got = vectors._cosines(src @ tgt.T, vectors._lengths(src, 3), vectors._lengths(tgt, 3)[:5], 3)
+        assert np.allclose(got, want, atol=1e-5)
+    model = vectors.PairModel(rng.standard_normal((vectors.D, 8)).astype(np.float32), rng.random(vectors.D).astype(np.float32), rng.random(vectors.D).astype(np.float32))
+    sizes, identity = np.array([3, 0, 700, 9_000, 1, 40]), vectors.identity_vectors()
+    codes = rng.integers(0, vectors.D**2, sizes.sum())
+    a, b = codes & (vectors.D - 1), codes >> vectors.BITS
+    full = np.concatenate([model.vectors[a] * (model.idf[a] * (1 - model.stays[b]))[:, None], identity[b] * (model.idf[a] * model.stays[b])[:, None]], 1)
+    want = np.stack([full[e - k : e].sum(0) for e, k in zip(np.cumsum(sizes), sizes)])
+    assert np.allclose(model.sentence_vectors(codes, sizes, identity), want, atol=1e-2)
+
+
 def test_sums_in_levels(spark):
     """Two thousand partial sums, at most eight in a task."""
     rng = np.random.default_rng(8)
