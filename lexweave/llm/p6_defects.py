@@ -33,7 +33,7 @@ from .p2_language import adapted_to_words, add_label_words, fit_language_model,
 from .p3_truncation import OPENED, STATISTICS, add_statistics, decide, length_ratios, new_statistics, open_rows, sentence_pieces, statistics_rows, summed_statistics
 from .textkit import _INVISIBLE_RE, HEADING, SEP, Sentences, fold, is_empty, language_of_label
 
-#: Characters of a shingle, words of an opening, hashes and rows of a band, heads of a bucket, passes over buckets.
+#: Characters of a shingle, words of an opening, hashes and rows of a band, heads of a bucket, passes over heads.
 SHINGLE, OPENING, HASHES, BAND, HEADS, PASSES = 3, 24, 32, 4, 16, 3
 SKETCH = 4
 #: Weight of a word that no refusal has.
@@ -88,7 +88,8 @@ _MULTIPLIERS = np.random.default_rng(23).integers(1, 1 << 63, HASHES, dtype=np.u
 
 
 def signed(c: dict[str, list]) -> dict[str, object]:
-    """Shingles and MinHash values of openings: opening, grams (distinct, hashed), mins."""
+    """Shingles and MinHash values of openings: opening, grams (distinct, hashed), mins; odd0, odd1: the bits that an odd
+    number of shingles turn, so that two openings differ in as many shingles at least as in bits."""
     text = SEP.join(c["opening"]) + SEP
     codes = codes_of(text).astype(np.uint64)
     end = np.flatnonzero(codes == 1)
@@ -106,20 +107,25 @@ def signed(c: dict[str, list]) -> dict[str, object]:
     wide = mix(h.astype(np.uint64) + np.uint64(1))
     mins = np.stack([np.minimum.reduceat(mix(wide * m) >> np.uint64(1), at) for m in _MULTIPLIERS], 1).astype(np.int64)
     grams = np.split(h, at[1:])
-    return {"opening": c["opening"], "grams": [g.tolist() for g in grams], "mins": mins.tolist(), **{k: c[k] for k in ("low", "high")}}
+    place = mix(wide) >> np.uint64(57)  # each shingle turns one of 128 bits
+    turned = np.uint64(1) << (place & np.uint64(63))
+    odd = {f"odd{k}": np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == k, turned, np.uint64(0)), at).astype(np.int64) for k in range(2)}
+    return {"opening": c["opening"], "grams": [g.tolist() for g in grams], "mins": mins.tolist(), **odd, **{k: c[k] for k in ("low", "high")}}
 
 
 def opening_clusters(openings: DataFrame) -> DataFrame:
     """openings: opening (distinct), low and high (arrays: least and greatest value of each prompt sketch behind it).
     Gives opening, cluster (a number), low and high of the whole cluster.
 
-    Members of a band's bucket are compared with a few heads of it, the least of each part of the bucket, so that a
-    bucket of any size is aggregated and never expanded into pairs. Those without a likeness among the heads of a larger
-    bucket come together again in buckets of one value more, PASSES times in all; links join clusters by the least
-    member in two rounds. What bands, heads and rounds miss is measured against brute force in the tests."""
-    signed_ = map_pieces(openings.filter("opening <> ''"), "opening string, grams array<int>, mins array<long>, low array<long>, high array<long>", signed, ("opening",))
+    Clusters are all that links join, links all pairs that share a bucket of a band and are alike. First, members of a
+    bucket meet a few heads of it only, the least of each part of the bucket, and those without a likeness among the heads
+    of a larger bucket come together again in buckets of one value more, PASSES times in all: this joins most of what is
+    alike without expanding a bucket of one template into pairs. Then every pair of a bucket that is not yet known to be
+    joined is compared (`unjoined_pairs`), and labels are carried along links until none changes."""
+    signed_ = map_pieces(openings.filter("opening <> ''"), "opening string, grams array<int>, mins array<long>, odd0 long, odd1 long, low array<long>, high array<long>", signed, ("opening",))
     o = stage(signed_.withColumn("h", F.xxhash64("opening")), "openings")
     keys = [f"k{turn}" for turn in range(PASSES)]
+    member = F.struct("h", "odd0", "odd1", F.size("grams").alias("size")).alias("m")
 
     def band(b: int) -> Column:
         """Keys of a band's bucket: its values, then one value more of another band for each further pass."""
@@ -128,33 +134,79 @@ def opening_clusters(openings: DataFrame) -> DataFrame:
             out.append(F.xxhash64(out[-1], F.col("mins")[((b + 1) * BAND + turn - 1) % HASHES]))
         return F.struct(*[c.alias(k) for c, k in zip(out, keys)])
 
-    # only hashes of openings meet; their shingles are fetched once for each pair that has met in any bucket
-    rest = o.select("h", F.explode(F.array(*map(band, range(HASHES // BAND)))).alias("x")).select("h", "x.*")
-    links = o.select("h", F.col("h").alias("rep"))
-    pair = [F.least("h", "head").alias("a"), F.greatest("h", "head").alias("b")]
     ga, gb = (o.select(F.col("h").alias(x), F.col("grams").alias(f"g{x}")) for x in "ab")
-    both = F.size(F.array_intersect("ga", "gb"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Those of pairs (a, b) that are alike; shingles are fetched once for each pair that has met in any bucket."""
+        both = F.size(F.array_intersect("ga", "gb"))
+        return stage(pairs.select("a", "b").distinct().join(ga, "a").join(gb, "b").filter(both * 1.8 >= 0.8 * (F.size("ga") + F.size("gb"))).select("a", "b"), "near")
+
+    # only hashes and bits of openings meet
+    buckets = stage(o.select(member, F.explode(F.array(*map(band, range(HASHES // BAND)))).alias("x")).select("m", "x.*"), "buckets")
+    rest, near = buckets, []
     for turn, key in enumerate(keys):
-        part = F.pmod(F.xxhash64("h", F.lit(turn)), F.lit(HEADS))
-        heads = rest.groupBy(key, part.alias("part")).agg(F.min("h").alias("head"), F.count("*").alias("n"))
+        part = F.pmod(F.xxhash64("m.h", F.lit(turn)), F.lit(HEADS))
+        heads = rest.groupBy(key, part.alias("part")).agg(F.min("m").alias("head"), F.count("*").alias("n"))
         heads = heads.groupBy(key).agg(F.collect_list("head").alias("heads"), F.sum("n").alias("n")).filter("n > 1")  # at most HEADS
         met = stage(rest.join(heads, key), "met")
-        tried = met.select("h", key, F.explode("heads").alias("head")).filter("h <> head").select("h", key, *pair)
-        near = stage(tried.select("a", "b").distinct().join(ga, "a").join(gb, "b").filter(both * 1.8 >= 0.8 * (F.size("ga") + F.size("gb"))).select("a", "b"), "near")
-        links = links.unionByName(near.select(F.explode(F.array(F.struct(F.col("a").alias("h"), F.col("b").alias("rep")), F.struct(F.col("b").alias("h"), F.col("a").alias("rep")))).alias("x")).select("x.*"))
-        found = tried.join(near, ["a", "b"], "left_semi").select("h", key).distinct()
-        rest = met.filter(F.col("n") > F.size("heads")).join(found, ["h", key], "left_anti").select("h", *keys)
-    links = stage(links.distinct(), "links")
-    label = o.select("h", F.col("h").alias("cluster"))
-    for _ in range(2):
-        reps = links.join(label, "h").groupBy("rep").agg(F.min("cluster").alias("cluster"))
-        label = links.join(reps, "rep").groupBy("h").agg(F.min("cluster").alias("cluster"))
-    label = stage(o.select("h", "opening", "low", "high").join(label, "h"), "clusters")
+        tried = met.select("m", key, F.explode("heads").alias("head")).filter(F.col("m.h") != F.col("head.h")).filter(maybe_alike("m", "head"))
+        tried = tried.select(F.col("m.h").alias("h"), key, F.least("m.h", "head.h").alias("a"), F.greatest("m.h", "head.h").alias("b"))
+        near.append(alike(tried))
+        found = tried.join(near[-1], ["a", "b"], "left_semi").select("h", key).distinct()
+        rest = met.filter(F.col("n") > F.size("heads")).withColumn("h", F.col("m.h")).join(found, ["h", key], "left_anti").select("m", *keys)
+    known = near[0]
+    for x in near[1:]:
+        known = known.unionByName(x)
+    known = known.distinct()
+    label = joined(known, 1)
+    links = known.unionByName(alike(unjoined_pairs(buckets.select(F.col(keys[0]).alias("key"), "m"), label)))
+    label = joined(links)
+    own = o.select("h", "opening", "low", "high").join(label, "h", "left").withColumn("cluster", F.coalesce("cluster", "h"))
+    label = stage(own, "clusters")
     edge = lambda f, name: F.array(*[f(F.col(name)[k]) for k in range(SKETCH)]).alias(name)
     whole = label.groupBy("cluster").agg(edge(F.min, "low"), edge(F.max, "high"))
     return label.select("opening", "cluster").join(whole, "cluster").select("opening", "cluster", "low", "high")
 
 
+def maybe_alike(x: str, y: str) -> Column:
+    """False only where two members can't be alike: at a Jaccard similarity of 0.8 sets differ in a ninth of their sizes' sum."""
+    differ = sum(F.bit_count(F.col(f"{x}.{odd}").bitwiseXOR(F.col(f"{y}.{odd}"))) for odd in ("odd0", "odd1"))
+    return differ * 9 <= F.col(f"{x}.size") + F.col(f"{y}.size")
+
+
+def unjoined_pairs(members: DataFrame, label: DataFrame, share: int = 20_000_000) -> DataFrame:
+    """members: key (bucket), m; label: h, cluster of those that are joined to any. Gives all pairs (a, b) of a bucket that
+    have not one label and may be alike. The members of a bucket's largest cluster don't meet each other, so that a bucket of one
+    template is not expanded; a bucket of many pairs is shared out among tasks."""
+    labelled = members.withColumn("h", F.col("m.h")).join(label, "h", "left").select("key", "m", F.coalesce("cluster", "h").alias("cluster"))
+    sizes = labelled.groupBy("key", "cluster").agg(F.count("*").alias("n")).groupBy("key")
+    mixed = sizes.agg(F.max(F.struct("n", "cluster")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("k")).filter("k > 1")
+    tasks = F.least(F.floor((F.col("n") - F.col("top.n")) * F.col("n") / share) + 1, F.lit(64))
+    labelled = stage(labelled.join(mixed.select("key", F.col("top.cluster").alias("top"), tasks.cast("int").alias("tasks")), "key"), "unjoined")
+    one = labelled.filter("cluster <> top").select("key", F.pmod(F.xxhash64("m.h"), F.col("tasks")).cast("int").alias("task"), "m", "cluster")
+    two = labelled.select("key", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.col("m").alias("w"), F.col("cluster").alias("other"), (F.col("cluster") == F.col("top")).alias("large"))
+    met = one.join(two, ["key", "task"]).filter(F.col("cluster") != F.col("other")).filter(F.col("large") | (F.col("m.h") < F.col("w.h"))).filter(maybe_alike("m", "w"))
+    return met.select(F.least("m.h", "w.h").alias("a"), F.greatest("m.h", "w.h").alias("b"))
+
+
+def joined(pairs: DataFrame, rounds: int | None = None) -> DataFrame:
+    """h, cluster of all members of pairs (a, b): the least member that links lead to, after so many rounds, or in the end."""
+    links = stage(pairs.select(F.explode(F.array(F.struct(F.col("a").alias("h"), F.col("b").alias("rep")), F.struct(F.col("b").alias("h"), F.col("a").alias("rep")))).alias("x")).select("x.*"), "links")
+    label = stage(links.groupBy("h").agg(F.min("rep").alias("rep")).select("h", F.least("h", "rep").alias("cluster")), "labels")
+    done = 0
+    while done != rounds:
+        done += 1
+        low = links.join(label.withColumnRenamed("h", "rep"), "rep").groupBy("h").agg(F.min("cluster").alias("low"))
+        low = label.join(low, "h").select("h", F.col("cluster").alias("was"), F.least("cluster", "low").alias("cluster"))
+        # a label's own label is at least as low: what is left of a chain halves in each round
+        own = label.select(F.col("h").alias("cluster"), F.col("cluster").alias("own"))
+        new = stage(low.join(own, "cluster", "left").select("h", "was", F.least("cluster", "own").alias("cluster")), "labels")
+        label = new.select("h", "cluster")
+        if done != rounds and new.filter("cluster <> was").isEmpty():
+            break
+    return label
+
+
 def across_unrelated_prompts(least: int = 2) -> Column:
     """Whether prompts behind a cluster differ in at least so many of their sketch's values."""
     return sum(((F.col("low")[k] != F.col("high")[k]).cast("int") for k in range(SKETCH)), F.lit(0)) >= least

@@ -420,6 +420,50 @@ def test_opening_clusters(spark):
         assert all(got[t].low == lows and got[t].high == highs for t in mine)
 
 
+def test_opening_clusters_are_whole(spark):
+    """Clusters are exactly what links within buckets join: along chains of any length, and in buckets of many unlike
+    openings, of which few are heads."""
+    rng = random.Random(21)
+    word = lambda k: "".join(rng.choice("abcdefghiklmnoprstu") for _ in range(k))
+    texts = set()
+    for _ in range(6):  # chains: each opening has one word other than the last
+        w = [word(6) for _ in range(12)]
+        for i in range(40):
+            texts.add(" ".join(w))
+            w[i % 12] = word(6)
+    same = [word(7) for _ in range(4)]
+    for _ in range(250):  # buckets of openings that share half of their words, each with one like it
+        other = [word(9) for _ in range(4)]
+        texts |= {" ".join(same + other), " ".join([*same, *other, word(3)])}
+    texts = sorted(texts)
+    signed = p6_defects.signed({k: texts if k == "opening" else [[0]] * len(texts) for k in ("opening", "low", "high")})
+    sets, buckets = [set(g) for g in signed["grams"]], {}
+    for i, m in enumerate(signed["mins"]):
+        for b in range(p6_defects.HASHES // p6_defects.BAND):
+            buckets.setdefault((b, *m[b * p6_defects.BAND : (b + 1) * p6_defects.BAND]), []).append(i)
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for mine in buckets.values():
+        for i in mine:
+            for j in mine:
+                if i < j and len(sets[i] & sets[j]) * 1.8 >= 0.8 * (len(sets[i]) + len(sets[j])):
+                    parent[root(i)] = root(j)
+    want = {}
+    for i, t in enumerate(texts):
+        want.setdefault(root(i), set()).add(t)
+    assert max(map(len, buckets.values())) > 4 * p6_defects.HEADS and max(map(len, want.values())) > 12
+    df = spark.createDataFrame([(t, [0] * p6_defects.SKETCH, [0] * p6_defects.SKETCH) for t in texts], "opening string, low array<long>, high array<long>")
+    got = {}
+    for r in p6_defects.opening_clusters(df).collect():
+        got.setdefault(r.cluster, set()).add(r.opening)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_prompt_sketch():
     rng = random.Random(8)
     words = [f"w{i}" for i in range(400)]
