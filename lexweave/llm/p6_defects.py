@@ -1,8 +1,8 @@
 """Problem 6: broken prompt and response pairs, each with its defect type.
 
 Method: openings of responses that share nothing with their prompt (no name, no number) are clustered by MinHash over
-three-character shingles (an opening has too few words for shingles of five), every link verified at a Jaccard similarity
-of 0.8; a cluster that recurs across unrelated prompts is a template. Word weights learned from the rows of templates against the
+three-character shingles (an opening has too few words for shingles of five), every pair of a bucket verified at a Jaccard
+similarity of 0.8 unless other links join it; a cluster that recurs across unrelated prompts is a template. Word weights learned from the rows of templates against the
 whole corpus tell templates that refuse from sentences that a story repeats: rows that open with a refusing template are
 refusals (evidence 'template'), and so are rows that the weights recognise though put together in new ways (evidence
 'words'). Copies, languages and cut endings are checked row by row. Texts of
