@@ -149,6 +149,40 @@ def test_cosines_of_windows():
     assert np.allclose(model.sentence_vectors(codes, sizes, identity), want, atol=1e-2)
 
 
+def test_texts_compared_together(monkeypatch):
+    """Short texts of any lengths are compared many at once, with the pairs that each has by itself; longer ones alone."""
+    rng = np.random.default_rng(13)
+    n, m = rng.integers(0, 14, 300), rng.integers(0, 14, 300)
+    n[:3], m[:3] = (90, 1, 60), (80, 5, 60)
+    src, tgt, first = rng.standard_normal((n.sum(), 24)).astype(np.float32), [], np.cumsum(n) - n
+    for f, a, b in zip(first, n, m):
+        x = rng.standard_normal((b, 24))
+        for k in range(min(a, b)):
+            x[k] = src[f + rng.integers(a)] + src[f + rng.integers(a)] * (k % 3 == 0) + 0.3 * x[k]
+        tgt.append(x)
+    tgt, t_first = np.concatenate(tgt).astype(np.float32), np.cumsum(m) - m
+    sizes, one, calls = (rng.integers(3, 12, len(src)), rng.integers(3, 20, len(tgt))), vectors.align, []
+    monkeypatch.setattr(vectors, "align", lambda *a, **k: calls.append(len(a[0])) or one(*a, **k))
+    for own in (sizes, None):
+        want = []
+        for i in range(300):
+            s, t = slice(first[i], first[i] + n[i]), slice(t_first[i], t_first[i] + m[i])
+            want += [(i, *p) for p in one(src[s], tgt[t], sizes=own and (own[0][s], own[1][t]))]
+        got = list(zip(*(v.tolist() for v in vectors.align_all(src, tgt, n, m, sizes=own))))
+        assert len(want) > 800 and got == want
+    assert calls == [90, 90]
+    none = np.zeros(2, np.int64)
+    assert [len(v) for v in vectors.align_all(src[:0], tgt[:0], none, none)] == [0, 0, 0]
+
+
+def test_words_of_many_texts(monkeypatch):
+    texts = ["Où vas-tu, l\u00adà?", "", "a\nb_c\x01d\u2028e", "Тис\u0301 42\u200b3 \U0001d400x \U0001f600 \U000e0041z", "\u3164", "ﬁn 東京"]
+    want = [["Où", "vas", "tu", "là"], [], ["a", "b", "c", "d", "e"], ["Тис", "423", "\U0001d400x", "z"], [], ["ﬁn", "東京"]]
+    assert vectors.words(texts) == want and vectors.words([]) == [] and vectors.words([""]) == [[]]
+    monkeypatch.setattr(vectors, "TOGETHER", 10)
+    assert vectors.words(texts) == want
+
+
 def test_sums_in_levels(spark):
     """Two thousand partial sums, at most eight in a task."""
     rng = np.random.default_rng(8)
